@@ -1,0 +1 @@
+"""The engine has no stream operators; batch operators accept the micro-batches of ``foreachBatch``."""
