@@ -7,10 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import chat_format, exact_dedup, sharding, url_filter
+from weftgraph.llm import chat_format, exact_dedup, media, packing, pieces, sharding, url_filter
 from weftgraph.llm.common import table
 
 
+def vocabulary_file(name: str) -> str:
+    """A file of the public vocabularies; they lie at the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def byte_vocabulary() -> packing.Vocabulary:
+    import public_tokenizers
+
+    return packing.Vocabulary(vocabulary_file("byte_bpe_50k.json"), vocabulary_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as ids and back: the ids, and length and hash of the text that they decode to."""
+    model = vocabulary_file("piece_bpe_32k.model")
+    back = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return back.select("doc_id", F.size("ids").alias("n_ids"), "ids", F.length("text").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     extra = spark.createDataFrame([(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
@@ -29,6 +49,19 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.encode(text, "UTF-8")).cast("long").alias("n_bytes"), media.padded(F.col("text")).alias("payload"))
+    got = media.read(media.store(rows))
+    feature = F.concat_ws(";", F.format_string("type=%d", "stream_type"), F.format_string("packets=%d", "packets"), F.format_string("units=%d", F.size("pts")), F.format_string("last_pts=%d", F.try_element_at("pts", F.lit(-1))), F.concat(F.lit("access="), F.array_join(F.transform("access_bytes", lambda x: x.cast("string")), ",")), F.concat(F.lit("problems="), F.array_join("problems", ",")))
+    return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces_ = packing.pack(table(spark, sf_dir, "documents"), byte_vocabulary())
+    return pieces_.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 RULES = (
     url_filter.Rule("block", "com", "/en/"),
     url_filter.Rule("allow", "example.com", "/en/7"),
