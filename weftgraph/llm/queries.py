@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import chat_format, exact_dedup, media, packing, pieces, sharding, url_filter
+from weftgraph.llm import chat_format, exact_dedup, media, packing, pieces, quality, sharding, url_filter
 from weftgraph.llm.common import table
 
 
@@ -62,6 +62,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces_.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    scored = quality.score(docs, model)
+    held = F.coalesce(quality.remainder(F.col("doc_id")) == 1, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
 RULES = (
     url_filter.Rule("block", "com", "/en/"),
     url_filter.Rule("allow", "example.com", "/en/7"),
