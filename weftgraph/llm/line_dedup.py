@@ -29,7 +29,8 @@ but for the text.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,38 +41,39 @@ COUNTED = ("e", "n", "t", "a", "i", "o", "r", " ")
 _LAST = (1 << 63) - 1
 
 
-def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start, length) of the edits + 1 even segments of a line; the last ones are longer by one."""
-    short, longer = F.floor(length / (edits + 1)), length % (edits + 1)
-    out = []
-    for i in range(edits + 1):
-        before = F.greatest(longer - (edits + 1 - i), F.lit(0))  # longer segments ahead of this one
-        out.append((short * i + before, short + F.when(longer >= edits + 1 - i, 1).otherwise(0)))
-    return out
+def segment(length: Column, i: Column, edits: int) -> tuple[Column, Column]:
+    """(start, length) of segment ``i`` of the edits + 1 even segments of a line; the last ones are longer by one."""
+    parts = edits + 1
+    longer = length % parts
+    short = F.call_function("div", length, F.lit(parts)).cast("int")
+    # ``longer`` segments at the end have one character more
+    return short * i + F.greatest(longer - (parts - i), F.lit(0)), short + (i >= parts - longer).cast("int")
 
 
-def _key(length: Column, i: int, text: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(i), text)
+def _places(places: list[tuple[int, int, int]]) -> Column:
+    return F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("less", "i", "shift"), p))) for p in places)))
 
 
-def _cut(line: Column, start: Column, length: Column) -> Column:
-    return F.substring(line, (start + 1).cast("int"), length.cast("int"))
+def _keyed(lines: DataFrame, places: list[tuple[int, int, int]], edits: int) -> DataFrame:
+    """``lines`` (line, length, ...) with ``key`` for each (length less, segment, shift) that lies inside the line."""
+    at = lines.select("*", _places(places).alias("at"))
+    length = F.col("length") - F.col("at.less")
+    start, n = segment(length, F.col("at.i"), edits)
+    start = start + F.col("at.shift")
+    inside = at.where((start >= 0) & (start + n <= F.col("length")))
+    return inside.withColumn("key", F.xxhash64(length, "at.i", F.substring(F.col("line"), start + 1, n))).drop("at")
 
 
-def index_keys(line: Column, length: Column, edits: int) -> Column:
-    return F.array(*(_key(length, i, _cut(line, a, n)) for i, (a, n) in enumerate(segments(length, edits))))
+def index_keys(lines: DataFrame, edits: int) -> DataFrame:
+    return _keyed(lines, [(0, i, 0) for i in range(edits + 1)], edits)
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys under which an index line of the same or a smaller length can hold a whole segment of this line."""
-    keys = []
-    for less in range(edits + 1):
-        for i, (start, n) in enumerate(segments(length - less, edits)):
-            # from the left at most i edits can have moved segment i, from the right at most edits - i
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                inside = (start + shift >= 0) & (start + shift + n <= length)
-                keys.append(F.when(inside, _key(length - less, i, _cut(line, start + shift, n))))
-    return F.filter(F.array_distinct(F.array(*keys)), lambda k: k.isNotNull())
+def probe_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """Keys under which an index line of the same or a smaller length can hold a whole segment of a line.
+
+    From the left at most ``i`` edits can have moved segment ``i``, from the right at most ``edits - i``.
+    """
+    return _keyed(lines, [(less, i, shift) for less in range(edits + 1) for i in range(edits + 1) for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)], edits)
 
 
 def letter_counts(line: Column) -> Column:
@@ -93,6 +95,32 @@ def counts_apart(a: Column, b: Column) -> Column:
     return reduce(Column.__add__, (around(byte(a, k) - byte(b, k)) for k in range(len(COUNTED))))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _trimmed(pair: Column) -> Column:
+    """The pair without most of what its strings begin or end with alike; that leaves their distance as it is."""
+
+    def cut(part: int, front: bool, p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        na, nb = F.length(a), F.length(b)
+        k = F.call_function("div", F.least(na, nb), F.lit(part)).cast("int")
+        if front:
+            same = F.substring(a, 1, k) == F.substring(b, 1, k)
+            rest = F.struct(F.substring(a, k + 1, na).alias("a"), F.substring(b, k + 1, nb).alias("b"))
+        else:
+            same = F.substring(a, na - k + 1, k) == F.substring(b, nb - k + 1, k)
+            rest = F.struct(F.substring(a, 1, na - k).alias("a"), F.substring(b, 1, nb - k).alias("b"))
+        return F.when(same, rest).otherwise(p)
+
+    for front in (True, False):
+        for part in (2, 4, 8, 16):
+            pair = _let(pair, partial(cut, part, front))
+    return pair
+
+
 def within_edits(a: Column, b: Column, edits: int) -> Column:
     """Whether two strings are within ``edits`` (up to 4) edits of each other."""
     if not 0 <= edits <= 4:
@@ -103,32 +131,40 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     all_bits = sum(((1 << width) - 1) * x for x in lanes)
     upper = all_bits & ~((1 << width) - 1)  # all levels but the lowest
 
-    def skip(state: Column) -> Column:
-        """Characters of ``a`` left out: one diagonal and one level up, as often as there are levels."""
-        for _ in range(edits):
-            state = state.bitwiseOR(F.shiftleft(state, lane + 1).bitwiseAND(upper))
-        return state
+    def long(x: int) -> Column:
+        return F.lit(x).cast("long")
 
-    pa_, pb = F.split(a, ""), F.split(b, "")
-    n, m = F.length(a), F.length(b)
+    def closed(state: Column) -> Column:
+        """With characters of ``a`` left out: each moves one diagonal and one level up."""
+        out, mask = state, upper
+        for k in range(1, edits + 1):
+            out = out.bitwiseOR(F.shiftleft(state, (lane + 1) * k).bitwiseAND(long(mask)))
+            mask = mask << (lane + 1) & upper
+        return out
 
-    def step(state: Column, j: Column) -> Column:  # j: place in b, from 1
-        match = F.lit(0).cast("long")
-        char = F.get(pb, j - 1)
+    def step(at: Column, j: Column) -> Column:  # j: place in b, from 0; the characters travel along, so they are split once
+        state = at["state"]
+        match = long(0)
         for d in range(width):
-            hit = (j - 1 + d - edits >= 0) & (F.get(pa_, j - 1 + d - edits) == char)
-            match = match.bitwiseOR(F.when(F.coalesce(hit, F.lit(False)), F.lit(sum(x << d for x in lanes))).otherwise(F.lit(0)).cast("long"))
-        kept = state.bitwiseAND(match)
-        other = F.shiftleft(state, lane).bitwiseAND(upper)  # another character in its place
-        more = F.shiftright(F.shiftleft(state, lane), 1).bitwiseAND(upper)  # a character of ``b`` added
-        return skip(kept.bitwiseOR(other).bitwiseOR(more).bitwiseAND(all_bits))
+            same = F.get(at["a"], j + d) == F.get(at["b"], j)  # null beyond the end
+            match = match.bitwiseOR(F.when(same, long(sum(x << d for x in lanes))).otherwise(long(0)))
+        kept = closed(state).bitwiseAND(match)
+        up = F.shiftleft(closed(state), lane)  # another character in its place, or one of ``b`` added
+        return F.struct(kept.bitwiseOR(up.bitwiseAND(long(upper))).bitwiseOR(F.shiftright(up, 1).bitwiseAND(long(upper))).alias("state"), at["a"].alias("a"), at["b"].alias("b"), at["goal"].alias("goal"))
+
+    def run(pair: Column) -> Column:
+        n, m = F.length(pair["a"]), F.length(pair["b"])
+        chars = F.concat(F.array_repeat(F.lit(""), edits), F.split(pair["a"], ""))
+        first = F.struct(long(1 << edits).alias("state"), chars.alias("a"), F.split(pair["b"], "").alias("b"), (n - m + edits).alias("goal"))
+        steps = F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
+
+        def reached(at: Column) -> Column:
+            end = closed(at["state"])
+            return reduce(Column.__or__, (F.call_function("shiftright", end, at["goal"] + lane * e).bitwiseAND(1) == 1 for e in range(edits + 1)))
+
+        return F.aggregate(steps, first, step, reached)
 
-    first = F.lit(1 << edits).cast("long")
-    steps = F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>"))
-    last = F.aggregate(steps, skip(first), step)
-    goal = n - m + edits
-    reached = reduce(Column.bitwiseOR, (F.shiftright(last, lane * e) for e in range(edits + 1)))
-    return F.when(F.abs(n - m) > edits, False).otherwise(F.call_function("shiftright", reached, goal.cast("int")).bitwiseAND(1) == 1)
+    return F.when(F.abs(F.length(a) - F.length(b)) > edits, False).otherwise(_let(_trimmed(F.struct(a.alias("a"), b.alias("b"))), run))
 
 
 def _lines(text: str | Column) -> Column:
@@ -157,8 +193,8 @@ def near_pairs(texts: DataFrame, places: DataFrame, edits: int) -> DataFrame:
     line = own.select("doc", "place", F.get(_lines("text"), F.col("place")).alias("line")).withColumn("length", F.length("line"))
     name = F.struct("doc", "place")
     marked = line.select(name.alias("id"), "line", "length", letter_counts(F.col("line")).alias("counts"))
-    index = marked.select("id", "counts", F.explode(index_keys(F.col("line"), F.col("length"), edits)).alias("key"))
-    probe = marked.select(F.col("id").alias("id2"), F.col("counts").alias("counts2"), F.explode(probe_keys(F.col("line"), F.col("length"), edits)).alias("key"))
+    index = index_keys(marked, edits).select("id", "counts", "key")
+    probe = probe_keys(marked, edits).select(F.col("id").alias("id2"), F.col("counts").alias("counts2"), "key")
     met = index.join(probe, (index["key"] == probe["key"]) & (index["id"] != probe["id2"]) & (counts_apart(F.col("counts"), F.col("counts2")) <= 2 * edits))
     pair = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct().select(F.col("a.doc").alias("doc_a"), F.col("a.place").alias("place_a"), F.col("b.doc").alias("doc_b"), F.col("b.place").alias("place_b"))
 
