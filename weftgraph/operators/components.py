@@ -12,7 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators import kernels
+from weftgraph.operators.graph import Predicate, PropertyGraph
 from weftgraph.plans.durable import drop_durable, durable
+from weftgraph.plans.local import in_one_task, is_local
+from weftgraph.plans.ranking import dense_index
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -53,3 +57,117 @@ def min_reachable(links: DataFrame, src: str = "src", dst: str = "dst", max_roun
 def _mark(links: DataFrame) -> tuple:
     h: Column = F.xxhash64("a", "b")
     return tuple(links.agg(F.count("*"), F.sum(F.shiftright(h, 20)), F.bit_xor(h)).first())
+
+
+def _labelled(graph: PropertyGraph, roots: DataFrame) -> DataFrame:
+    """Labels 1, 2, ... in order of the smallest member, 0 outside, from (id, component) of selected vertices."""
+    labels = dense_index(roots.select("component"), ["component"], "label")
+    found = roots.join(labels, "component").select("id", "label")
+    return graph.vertices.select("id").join(found, "id", "left").select("id", F.coalesce("label", F.lit(0)).cast("long").alias("label"))
+
+
+def connected_components(graph: PropertyGraph, vertices: Predicate = None, edges: Predicate = None) -> DataFrame:
+    """id, label of every vertex: components of the selection, direction ignored; 0 for vertices outside it."""
+    part = graph.subgraph(vertices, edges)
+    reach = min_reachable(part.edges)
+    roots = part.vertices.select("id").join(reach, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return _labelled(graph, durable(roots, "components"))
+
+
+def strongly_connected_components(graph: PropertyGraph, vertices: Predicate = None, edges: Predicate = None, strategy: str = "auto") -> DataFrame:
+    """id, component (smallest id in the component; null outside the selection). Directed graphs only."""
+    if not graph.directed:
+        raise ValueError("strong components need a directed graph")
+    part = graph.subgraph(vertices, edges)
+    if is_local(part.edges, strategy):
+        found = in_one_task(part.vertices.select("id"), part.edges.select("src", "dst"), kernels.strong_components, "id long, component long")
+    else:
+        found = _strong_by_colour(part)
+    return graph.vertices.select("id").join(found, "id", "left")
+
+
+def _spread(start: DataFrame, arcs: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """(id, colour): the smallest colour that reaches an id along arcs, from its own colour on."""
+    now = durable(start, "colour")
+    while True:
+        sent = arcs.join(now, arcs["a"] == now["id"]).select(F.col("b").alias("id"), "colour")
+        nxt = durable(now.unionByName(sent).groupBy("id").agg(F.min("colour").alias("colour")), "colour")
+        changed = nxt.join(now.withColumnRenamed("colour", "was"), "id").where("colour < was")
+        if changed.isEmpty():
+            return nxt
+        now = nxt
+
+
+def _strong_by_colour(part: PropertyGraph) -> DataFrame:
+    """Forward colouring by the smallest id, then backward within each colour from the vertex that gave it."""
+    rest = durable(part.vertices.select("id"), "scc")
+    arcs = durable(part.edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "scc")
+    done = None
+    while not rest.isEmpty():
+        # vertices without arcs on one side are components of their own
+        inner = arcs.select(F.col("a").alias("id")).distinct().join(arcs.select(F.col("b").alias("id")).distinct(), "id", "left_semi")
+        alone = durable(rest.join(inner, "id", "left_anti").select("id", F.col("id").alias("component")), "scc")
+        colour = _spread(rest.join(inner, "id", "left_semi").select("id", F.col("id").alias("colour")), arcs.join(inner.withColumnRenamed("id", "a"), "a", "left_semi").join(inner.withColumnRenamed("id", "b"), "b", "left_semi"))
+        tinted = arcs.join(colour.select(F.col("id").alias("a"), F.col("colour").alias("ca")), "a").join(colour.select(F.col("id").alias("b"), F.col("colour").alias("cb")), "b").where("ca = cb")
+        back = durable(tinted.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("ca").alias("c")), "scc")
+        # backward from each root: a vertex is in the component if its colour's root reaches it backwards
+        hit = durable(colour.where("id = colour").select("id"), "scc")
+        while True:
+            more = durable(hit.unionByName(back.join(hit, back["a"] == hit["id"]).select(F.col("b").alias("id"))).distinct(), "scc")
+            if more.count() == hit.count():
+                break
+            hit = more
+        found = durable(alone.unionByName(colour.join(hit, "id", "left_semi").select("id", F.col("colour").alias("component"))), "scc")
+        done = found if done is None else done.unionByName(found)
+        gone = found.select("id")
+        rest = durable(rest.join(gone, "id", "left_anti"), "scc")
+        arcs = durable(arcs.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti"), "scc")
+    return done if done is not None else rest.select("id", F.col("id").alias("component"))
+
+
+def topological_levels(graph: PropertyGraph, components: DataFrame | None = None, vertices: Predicate = None, edges: Predicate = None) -> DataFrame:
+    """id, level of every vertex: 1 without predecessors, else one more than the highest predecessor; 0 outside.
+
+    With ``components`` (id, component) members of a component share a level and edges within it don't count.
+    Loops don't count either. A cycle is a ValueError. A round per level.
+    """
+    if not graph.directed:
+        raise ValueError("levels need a directed graph")
+    part = graph.subgraph(vertices, edges)
+    group = part.vertices.select("id", F.col("id").alias("component")) if components is None else part.vertices.select("id").join(components.where("component is not null").select("id", "component"), "id")
+    if components is not None and not part.vertices.select("id").join(group, "id", "left_anti").isEmpty():
+        raise ValueError("a selected vertex has no component")
+    group = durable(group, "levels")
+    of = lambda end, name: group.select(F.col("id").alias(end), F.col("component").alias(name))
+    arcs = durable(part.edges.select("src", "dst").join(of("src", "a"), "src").join(of("dst", "b"), "dst").where("a <> b").select("a", "b").distinct(), "levels")
+    rest, level, done = durable(group.select("component").distinct(), "levels"), 0, None
+    while not rest.isEmpty():
+        level += 1
+        top = durable(rest.join(arcs.select(F.col("b").alias("component")), "component", "left_anti").select("component", F.lit(level).cast("long").alias("level")), "levels")
+        if top.isEmpty():
+            raise ValueError("a cycle has no topological levels")
+        done = top if done is None else done.unionByName(top)
+        rest = durable(rest.join(top, "component", "left_anti"), "levels")
+        arcs = durable(arcs.join(top.select(F.col("component").alias("a")), "a", "left_anti"), "levels")
+    if done is None:
+        return graph.vertices.select("id", F.lit(0).cast("long").alias("level"))
+    found = group.join(done, "component").select("id", "level")
+    return graph.vertices.select("id").join(found, "id", "left").select("id", F.coalesce("level", F.lit(0)).alias("level"))
+
+
+def level_violations(graph: PropertyGraph, levels: DataFrame, components: DataFrame | None = None, vertices: Predicate = None, edges: Predicate = None) -> DataFrame:
+    """Rows (kind, id, other) that contradict ``levels`` (id, level): none if they are topological levels."""
+    part = graph.subgraph(vertices, edges)
+    inside = part.vertices.select("id", F.lit(True).alias("inside"))
+    all_levels = graph.vertices.select("id").join(levels, "id", "left").join(inside, "id", "left")
+    wrong = all_levels.where("(coalesce(level, 0) > 0) <> coalesce(inside, false)").select(F.lit("selection").alias("kind"), "id", F.lit(None).cast("long").alias("other"))
+    group = levels.select("id", "level", F.col("id").alias("component")) if components is None else levels.join(components, "id").select("id", "level", "component")
+    side = lambda n: group.select(*(F.col(c).alias(f"{c}_{n}") for c in ("id", "level", "component")))
+    both = part.edges.select("src", "dst").where("src <> dst").join(side("a"), F.col("src") == F.col("id_a")).join(side("b"), F.col("dst") == F.col("id_b"))
+    order = both.where("component_a <> component_b and level_a >= level_b").select(F.lit("order").alias("kind"), F.col("src").alias("id"), F.col("dst").alias("other"))
+    mixed = group.join(part.vertices.select("id"), "id", "left_semi").groupBy("component").agg(F.min("level").alias("lo"), F.max("level").alias("hi")).where("lo <> hi").select(F.lit("component").alias("kind"), F.col("component").alias("id"), F.lit(None).cast("long").alias("other"))
+    return wrong.unionByName(order).unionByName(mixed)
+
+
+def verify_topological_levels(graph: PropertyGraph, levels: DataFrame, components: DataFrame | None = None, vertices: Predicate = None, edges: Predicate = None) -> bool:
+    return level_violations(graph, levels, components, vertices, edges).isEmpty()
