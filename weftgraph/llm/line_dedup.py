@@ -21,8 +21,8 @@ probes carry hashes. The parts of the plan that need text again read the same
 exchange.
 
 Defined results: a null text has no lines and stays null; an empty text stays
-empty; rows that repeat an id share the lines that stay; a null id comes last,
-after all others; an empty table gives an empty result. A line within the
+empty; rows that repeat an id share the line numbers that stay; a null id comes
+last, after all others (ids lie below 2^63 - 1); an empty table gives an empty result. A line within the
 limits of a dropped line is dropped too. Columns of the input stay as they are
 but for the text.
 """
@@ -77,22 +77,19 @@ def probe_keys(lines: DataFrame, edits: int) -> DataFrame:
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of the letters, modulo 256, in the bytes of one long."""
+    """Counts of the letters, modulo 16, in four bits each of one integer."""
     n = F.length(line)
-    one = (((n - F.length(F.replace(line, F.lit(c)))).cast("long").bitwiseAND(255), 8 * k) for k, c in enumerate(COUNTED))
-    return reduce(Column.bitwiseOR, (F.shiftleft(c, s) for c, s in one))
+    return reduce(Column.bitwiseOR, (F.shiftleft((n - F.length(F.replace(line, F.lit(c)))).bitwiseAND(15), 4 * k) for k, c in enumerate(COUNTED)))
 
 
 def counts_apart(a: Column, b: Column) -> Column:
-    """Sum over the letters of how far two counts are apart, at least; every edit adds at most two."""
+    """How far two counts are apart at least, summed over the letters; every edit adds at most two."""
 
-    def byte(x: Column, k: int) -> Column:
-        return F.shiftright(x, 8 * k).bitwiseAND(255)
+    def around(k: int) -> Column:  # modulo 16, the shorter way
+        d = F.abs(F.shiftright(a, 4 * k).bitwiseAND(15) - F.shiftright(b, 4 * k).bitwiseAND(15))
+        return F.least(d, 16 - d)
 
-    def around(d: Column) -> Column:  # modulo 256, the shorter way
-        return F.least(F.abs(d), 256 - F.abs(d))
-
-    return reduce(Column.__add__, (around(byte(a, k) - byte(b, k)) for k in range(len(COUNTED))))
+    return reduce(Column.__add__, map(around, range(len(COUNTED))))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -189,14 +186,16 @@ def first_places(texts: DataFrame, min_chars: int) -> DataFrame:
 
 def near_pairs(texts: DataFrame, places: DataFrame, edits: int) -> DataFrame:
     """Pairs of different lines within ``edits`` edits: doc and place of the earlier and of the later."""
-    own = places.join(texts, "doc").select("doc", F.explode("places").alias("place"), "text")
-    line = own.select("doc", "place", F.get(_lines("text"), F.col("place")).alias("line")).withColumn("length", F.length("line"))
-    name = F.struct("doc", "place")
-    marked = line.select(name.alias("id"), "line", "length", letter_counts(F.col("line")).alias("counts"))
-    index = index_keys(marked, edits).select("id", "counts", "key")
-    probe = probe_keys(marked, edits).select(F.col("id").alias("id2"), F.col("counts").alias("counts2"), "key")
-    met = index.join(probe, (index["key"] == probe["key"]) & (index["id"] != probe["id2"]) & (counts_apart(F.col("counts"), F.col("counts2")) <= 2 * edits))
-    pair = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct().select(F.col("a.doc").alias("doc_a"), F.col("a.place").alias("place_a"), F.col("b.doc").alias("doc_b"), F.col("b.place").alias("place_b"))
+    # a document is split once for all its lines
+    lines = _let(_lines("text"), lambda parts: F.transform("places", lambda p: F.struct(p.alias("place"), F.get(parts, p).alias("line"))))
+    own = places.join(texts, "doc").select("doc", F.inline(lines))
+    marked = own.select("doc", "place", "line", F.length("line").alias("length"), letter_counts(F.col("line")).alias("counts"))
+    index = index_keys(marked, edits).select("key", "doc", "place", "counts")
+    probe = probe_keys(marked, edits).select(F.col("key").alias("key2"), F.col("doc").alias("doc2"), F.col("place").alias("place2"), F.col("counts").alias("counts2"))
+    other = (F.col("doc") != F.col("doc2")) | (F.col("place") != F.col("place2"))
+    met = index.join(probe, (F.col("key") == F.col("key2")) & other & (counts_apart(F.col("counts"), F.col("counts2")) <= 2 * edits))
+    ends = F.struct("doc", "place"), F.struct(F.col("doc2").alias("doc"), F.col("place2").alias("place"))
+    pair = met.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct().select(F.col("a.doc").alias("doc_a"), F.col("a.place").alias("place_a"), F.col("b.doc").alias("doc_b"), F.col("b.place").alias("place_b"))
 
     def with_line(pairs: DataFrame, side: str) -> DataFrame:
         got = pairs.join(texts, pairs[f"doc_{side}"] == texts["doc"])
@@ -217,7 +216,10 @@ def staying(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text that is left, and ``dropped_lines``: the numbers (from 0) of the lines that went."""
     keep = staying(docs, edits, min_chars, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("places").alias("__places"))
-    keyed = docs.withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)))
+    if set(docs.columns) == {id_col, text_col}:  # the same exchange as for the comparison serves
+        keyed = _documents(docs, id_col, text_col).select(F.col("doc").alias("__doc"), F.nullif("doc", F.lit(_LAST)).alias(id_col), F.col("text").alias(text_col))
+    else:
+        keyed = docs.withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)))
     met = keyed.join(keep, "__doc", "left").withColumn("__places", F.coalesce("__places", F.array().cast("array<int>")))
     parts = F.transform(_lines(text_col), lambda x, i: F.struct(i.alias("i"), x.alias("x"), ((F.length(x) < min_chars) | F.array_contains(F.col("__places"), i)).alias("stays")))
     met = met.withColumn("__parts", parts)
