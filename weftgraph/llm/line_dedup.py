@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 EDITS, MIN_CHARS = 2, 24
 # Common letters whose counts bound the distance of two lines from below.
-COUNTED = ("e", "n", "t", "a", "i", "o", "r", " ")
+COUNTED = ("e", "n", "t", "a", "i")
 _LAST = (1 << 63) - 1
 
 
@@ -50,30 +50,25 @@ def segment(length: Column, i: Column, edits: int) -> tuple[Column, Column]:
     return short * i + F.greatest(longer - (parts - i), F.lit(0)), short + (i >= parts - longer).cast("int")
 
 
-def _places(places: list[tuple[int, int, int]]) -> Column:
-    return F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("less", "i", "shift"), p))) for p in places)))
+def places_to_look(edits: int) -> list[tuple[int, int, int, int]]:
+    """(role, length less, segment, shift): the index keys (role 0) and probe keys (role 1) of a line.
+
+    A probe reaches index lines of its own and the shorter lengths. From the left
+    at most ``i`` edits can have moved segment ``i``, from the right ``edits - i``.
+    """
+    index = [(0, 0, i, 0) for i in range(edits + 1)]
+    return index + [(1, less, i, shift) for less in range(edits + 1) for i in range(edits + 1) for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
 
 
-def _keyed(lines: DataFrame, places: list[tuple[int, int, int]], edits: int) -> DataFrame:
-    """``lines`` (line, length, ...) with ``key`` for each (length less, segment, shift) that lies inside the line."""
-    at = lines.select("*", _places(places).alias("at"))
+def keyed(lines: DataFrame, edits: int) -> DataFrame:
+    """``lines`` (line, length, ...) with role and key for each place to look that lies inside the line."""
+    places = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("role", "less", "i", "shift"), p))) for p in places_to_look(edits)))
+    at = lines.select("*", F.explode(places).alias("at"))
     length = F.col("length") - F.col("at.less")
     start, n = segment(length, F.col("at.i"), edits)
     start = start + F.col("at.shift")
     inside = at.where((start >= 0) & (start + n <= F.col("length")))
-    return inside.withColumn("key", F.xxhash64(length, "at.i", F.substring(F.col("line"), start + 1, n))).drop("at")
-
-
-def index_keys(lines: DataFrame, edits: int) -> DataFrame:
-    return _keyed(lines, [(0, i, 0) for i in range(edits + 1)], edits)
-
-
-def probe_keys(lines: DataFrame, edits: int) -> DataFrame:
-    """Keys under which an index line of the same or a smaller length can hold a whole segment of a line.
-
-    From the left at most ``i`` edits can have moved segment ``i``, from the right at most ``edits - i``.
-    """
-    return _keyed(lines, [(less, i, shift) for less in range(edits + 1) for i in range(edits + 1) for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)], edits)
+    return inside.withColumn("role", F.col("at.role").cast("byte")).withColumn("key", F.xxhash64(length, "at.i", F.substring(F.col("line"), start + 1, n))).drop("at")
 
 
 def letter_counts(line: Column) -> Column:
@@ -190,11 +185,13 @@ def near_pairs(texts: DataFrame, places: DataFrame, edits: int) -> DataFrame:
     lines = _let(_lines("text"), lambda parts: F.transform("places", lambda p: F.struct(p.alias("place"), F.get(parts, p).alias("line"))))
     own = places.join(texts, "doc").select("doc", F.inline(lines))
     marked = own.select("doc", "place", "line", F.length("line").alias("length"), letter_counts(F.col("line")).alias("counts"))
-    index = index_keys(marked, edits).select("key", "doc", "place", "counts")
-    probe = probe_keys(marked, edits).select(F.col("key").alias("key2"), F.col("doc").alias("doc2"), F.col("place").alias("place2"), F.col("counts").alias("counts2"))
-    other = (F.col("doc") != F.col("doc2")) | (F.col("place") != F.col("place2"))
-    met = index.join(probe, (F.col("key") == F.col("key2")) & other & (counts_apart(F.col("counts"), F.col("counts2")) <= 2 * edits))
-    ends = F.struct("doc", "place"), F.struct(F.col("doc2").alias("doc"), F.col("place2").alias("place"))
+    looked = keyed(marked, edits).select("key", "role", "doc", "place", "counts")
+    # both sides of the join read one exchange: the roles are told apart only where they meet
+    a, b = looked.alias("a"), looked.alias("b")
+    col = F.col
+    other = (col("a.doc") != col("b.doc")) | (col("a.place") != col("b.place"))
+    met = a.join(b, (col("a.key") == col("b.key")) & (col("a.role") < col("b.role")) & other & (counts_apart(col("a.counts"), col("b.counts")) <= 2 * edits))
+    ends = [F.struct(col(f"{x}.doc").alias("doc"), col(f"{x}.place").alias("place")) for x in "ab"]
     pair = met.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct().select(F.col("a.doc").alias("doc_a"), F.col("a.place").alias("place_a"), F.col("b.doc").alias("doc_b"), F.col("b.place").alias("place_b"))
 
     def with_line(pairs: DataFrame, side: str) -> DataFrame:
