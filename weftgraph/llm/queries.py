@@ -107,3 +107,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k == "pipeline" or k.startswith("op") and k[2].isdigit()}
+
+
+def oracle_sql() -> dict[str, str]:
+    from weftgraph.llm import sql
+
+    return {"op3_chat_formatting": sql.OP3, "op6_exact_dedup": sql.OP6}
