@@ -142,7 +142,8 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
             match = match.bitwiseOR(F.when(same, long(sum(x << d for x in lanes))).otherwise(long(0)))
         kept = closed(state).bitwiseAND(match)
         up = F.shiftleft(closed(state), lane)  # another character in its place, or one of ``b`` added
-        return F.struct(kept.bitwiseOR(up.bitwiseAND(long(upper))).bitwiseOR(F.shiftright(up, 1).bitwiseAND(long(upper))).alias("state"), at["a"].alias("a"), at["b"].alias("b"), at["goal"].alias("goal"))
+        new = F.struct(kept.bitwiseOR(up.bitwiseAND(long(upper))).bitwiseOR(F.shiftright(up, 1).bitwiseAND(long(upper))).alias("state"), at["a"].alias("a"), at["b"].alias("b"), at["goal"].alias("goal"))
+        return F.when(state == 0, at).otherwise(new)  # too many edits already: nothing to work out
 
     def run(pair: Column) -> Column:
         n, m = F.length(pair["a"]), F.length(pair["b"])
