@@ -4,21 +4,22 @@ A line is dropped when an earlier line of the corpus is the same or within
 ``edits`` single-character edits; earlier means a smaller document id, then a
 smaller line number. Lines of fewer than ``min_chars`` characters stay.
 
-Same lines meet under their SHA-256 first, combined on the map side, so that a
-line that fills a third of the corpus costs no more than any other; the first
-occurrence stands for all. Each remaining line is cut into ``edits`` + 1
-segments; within ``edits`` edits at least one segment stays whole and can only
-have shifted by a little. Segments go into an index by (length of the line,
-number of the segment, content); every line probes it with the substrings at
-the places a segment can have moved to, for its own and the shorter lengths.
-Pairs that meet are bounded by counts of common letters, inside the join, and
-then verified by a banded bit-parallel edit distance: an automaton whose states
+Same lines are combined on the map side first, so that a line that fills a
+third of the corpus costs no more than any other; the first occurrence stands
+for all. Each remaining line is cut into ``edits`` + 1 segments; within
+``edits`` edits at least one segment stays whole and can only have shifted by a
+little. Segments go into an index by (length of the line, number of the
+segment, content); every line probes it with the substrings at the places a
+segment can have moved to, for its own and the shorter lengths. What meets is
+verified by a banded bit-parallel edit distance: an automaton whose states
 (diagonals of the band, by number of edits) are the bits of one long, advanced
 by shifts and masks for each character.
 
-DataFrame expressions only. Text is shuffled once, by document id; index and
-probes carry hashes. The parts of the plan that need text again read the same
-exchange.
+A line needs one earlier line within the limit to go, so it is compared with
+the earliest line of each key first; only lines that this leaves open meet all
+of a key's earlier lines, and of those the ones whose letter counts allow it.
+
+DataFrame expressions only. Index and probes carry hashes, not text.
 
 Defined results: a null text has no lines and stays null; an empty text stays
 empty; rows that repeat an id share the line numbers that stay; a null id comes
@@ -32,13 +33,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.plans.durable import durable
+
 EDITS, MIN_CHARS = 2, 24
 # Common letters whose counts bound the distance of two lines from below.
-COUNTED = ("e", "n", "t", "a", "i")
+COUNTED = ("e", "n", "t", "a", "i", "o", "r", " ")
 _LAST = (1 << 63) - 1
+PROBE = 2
 
 
 def segment(length: Column, i: Column, edits: int) -> tuple[Column, Column]:
@@ -51,13 +55,13 @@ def segment(length: Column, i: Column, edits: int) -> tuple[Column, Column]:
 
 
 def places_to_look(edits: int) -> list[tuple[int, int, int, int]]:
-    """(role, length less, segment, shift): the index keys (role 0) and probe keys (role 1) of a line.
+    """(role, length less, segment, shift): the index keys (role 0 for the first segment, 1) and probe keys (2) of a line.
 
     A probe reaches index lines of its own and the shorter lengths. From the left
     at most ``i`` edits can have moved segment ``i``, from the right ``edits - i``.
     """
-    index = [(0, 0, i, 0) for i in range(edits + 1)]
-    return index + [(1, less, i, shift) for less in range(edits + 1) for i in range(edits + 1) for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
+    index = [(min(i, 1), 0, i, 0) for i in range(edits + 1)]
+    return index + [(PROBE, less, i, shift) for less in range(edits + 1) for i in range(edits + 1) for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
 
 
 def keyed(lines: DataFrame, edits: int) -> DataFrame:
@@ -72,17 +76,17 @@ def keyed(lines: DataFrame, edits: int) -> DataFrame:
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of the letters, modulo 16, in four bits each of one integer."""
+    """Counts of the letters, modulo 256, in the bytes of one long."""
     n = F.length(line)
-    return reduce(Column.bitwiseOR, (F.shiftleft((n - F.length(F.replace(line, F.lit(c)))).bitwiseAND(15), 4 * k) for k, c in enumerate(COUNTED)))
+    return reduce(Column.bitwiseOR, (F.shiftleft((n - F.length(F.replace(line, F.lit(c)))).cast("long").bitwiseAND(255), 8 * k) for k, c in enumerate(COUNTED)))
 
 
 def counts_apart(a: Column, b: Column) -> Column:
     """How far two counts are apart at least, summed over the letters; every edit adds at most two."""
 
-    def around(k: int) -> Column:  # modulo 16, the shorter way
-        d = F.abs(F.shiftright(a, 4 * k).bitwiseAND(15) - F.shiftright(b, 4 * k).bitwiseAND(15))
-        return F.least(d, 16 - d)
+    def around(k: int) -> Column:  # modulo 256, the shorter way
+        d = F.abs(F.shiftright(a, 8 * k).bitwiseAND(255) - F.shiftright(b, 8 * k).bitwiseAND(255))
+        return F.least(d, 256 - d)
 
     return reduce(Column.__add__, map(around, range(len(COUNTED))))
 
@@ -168,46 +172,70 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text_col).alias("text"))
 
 
-def first_places(texts: DataFrame, min_chars: int) -> DataFrame:
-    """(doc, places): the lines of a document that occur nowhere before, from (doc, text)."""
+def first_lines(texts: DataFrame, min_chars: int) -> DataFrame:
+    """doc, place, line: every different line where it occurs first, from (doc, text)."""
     seen = texts.select("doc", F.posexplode(_lines("text")).alias("place", "line")).where(F.length("line") >= min_chars)
     # document and line number as one integer of up to 38 digits: its minimum is kept in place while rows are combined
     shift = F.lit(1 << 31).cast("decimal(11,0)")
     at = (F.col("doc").cast("decimal(20,0)") * shift + F.col("place").cast("decimal(11,0)")).cast("decimal(38,0)")
-    first = seen.select(F.unhex(F.sha2("line", 256)).alias("line"), at.alias("at")).groupBy("line").agg(F.min("at").alias("at"))
+    first = seen.groupBy("line").agg(F.min(at).alias("at"))
     place = F.expr("pmod(at, 2147483648BD)")
-    split = first.select(((F.col("at") - place) / shift).cast("long").alias("doc"), place.cast("int").alias("place"))
-    return split.groupBy("doc").agg(F.collect_list("place").alias("places"))
-
-
-def near_pairs(texts: DataFrame, places: DataFrame, edits: int) -> DataFrame:
-    """Pairs of different lines within ``edits`` edits: doc and place of the earlier and of the later."""
-    # a document is split once for all its lines
-    lines = _let(_lines("text"), lambda parts: F.transform("places", lambda p: F.struct(p.alias("place"), F.get(parts, p).alias("line"))))
-    own = places.join(texts, "doc").select("doc", F.inline(lines))
-    marked = own.select("doc", "place", "line", F.length("line").alias("length"), letter_counts(F.col("line")).alias("counts"))
-    looked = keyed(marked, edits).select("key", "role", "doc", "place", "counts")
-    # both sides of the join read one exchange: the roles are told apart only where they meet
-    a, b = looked.alias("a"), looked.alias("b")
-    col = F.col
-    other = (col("a.doc") != col("b.doc")) | (col("a.place") != col("b.place"))
-    met = a.join(b, (col("a.key") == col("b.key")) & (col("a.role") < col("b.role")) & other & (counts_apart(col("a.counts"), col("b.counts")) <= 2 * edits))
-    ends = [F.struct(col(f"{x}.doc").alias("doc"), col(f"{x}.place").alias("place")) for x in "ab"]
-    pair = met.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct().select(F.col("a.doc").alias("doc_a"), F.col("a.place").alias("place_a"), F.col("b.doc").alias("doc_b"), F.col("b.place").alias("place_b"))
+    return first.select(((F.col("at") - place) / shift).cast("long").alias("doc"), place.cast("int").alias("place"), "line")
 
-    def with_line(pairs: DataFrame, side: str) -> DataFrame:
-        got = pairs.join(texts, pairs[f"doc_{side}"] == texts["doc"])
-        return got.select(*pairs.columns, F.get(_lines("text"), F.col(f"place_{side}")).alias(f"line_{side}"))
 
-    both = with_line(with_line(pair, "a"), "b")
-    return both.where(within_edits(F.col("line_a"), F.col("line_b"), edits)).select("doc_a", "place_a", "doc_b", "place_b")
+def meetings(lines: DataFrame, edits: int) -> DataFrame:
+    """key, role, doc, place for lines (doc, place, line), with the earliest line that meets it from the other side
+    (``other``), the number that do (``n``), and whether the key has more than one line (``shared``).
+
+    Keys of one line alone are left out but for the line's first segment.
+    """
+    marked = lines.withColumn("length", F.length("line"))
+    looked = keyed(marked, edits).select("key", "role", "doc", "place")
+    group, at, probe = Window.partitionBy("key"), F.struct("doc", "place"), F.col("role") == PROBE
+    over = lambda c: c.over(group)
+    own = looked.select(
+        "*", over(F.min(at)).alias("lo"), over(F.max(at)).alias("hi"), over(F.min(F.when(~probe, at))).alias("i0"), over(F.min(F.when(probe, at))).alias("p0"), over(F.count(F.when(~probe, 1))).alias("ni"), over(F.count(F.when(probe, 1))).alias("np")
+    )
+    kept = own.withColumn("shared", F.col("lo") != F.col("hi")).where("shared or role = 0")
+    return kept.select("key", "role", "doc", "place", "shared", F.when(probe, F.col("i0")).otherwise(F.col("p0")).alias("other"), F.when(probe, F.col("ni")).otherwise(F.col("np")).alias("n"))
+
+
+def late_lines(texts: DataFrame, shared: DataFrame, edits: int) -> DataFrame:
+    """doc, place of the lines with an earlier line within ``edits`` edits, from shared ``meetings``.
+
+    First a line is compared with the earliest line of each of its keys, one a
+    key whatever meets there. Lines that this does not settle are compared with
+    all earlier ones, bounded by counts of letters before pairs are made.
+    """
+    at = F.struct("doc", "place")
+
+    def with_line(pairs: DataFrame, side: str) -> DataFrame:
+        got = pairs.join(texts, pairs[f"{side}.doc"] == texts["doc"])
+        return got.select(*pairs.columns, F.get(_lines("text"), F.col(f"{side}.place")).alias(f"line_{side}"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = with_line(with_line(pairs.distinct(), "a"), "b")
+        return both.where(within_edits(F.col("line_a"), F.col("line_b"), edits)).select("b.doc", "b.place").distinct()
+
+    settled = verified(shared.where(F.col("other") < at).select(F.col("other").alias("a"), at.alias("b")))
+    open_ = shared.where("n > 1").select("key", "role", "doc", "place", "other")
+    named = open_.select("doc", "place").distinct()
+    counted = named.join(texts, "doc").select("doc", "place", letter_counts(F.get(_lines("text"), F.col("place"))).alias("counts"))
+    known = shared.select("key", "role", "doc", "place").join(counted, ["doc", "place"])
+    left = open_.join(settled, ["doc", "place"], "left_anti").join(counted, ["doc", "place"]).alias("r")
+    g = known.alias("g")
+    ends = {x: F.struct(F.col(f"{x}.doc").alias("doc"), F.col(f"{x}.place").alias("place")) for x in "gr"}
+    across = (F.col("g.role") == PROBE) != (F.col("r.role") == PROBE)
+    met = left.join(g, (F.col("r.key") == F.col("g.key")) & across & (ends["g"] < ends["r"]) & (ends["g"] != F.col("r.other")) & (counts_apart(F.col("g.counts"), F.col("r.counts")) <= 2 * edits))
+    return settled.unionByName(verified(met.select(ends["g"].alias("a"), ends["r"].alias("b"))))
 
 
 def staying(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, places): the lines of at least ``min_chars`` characters that stay."""
     texts = _documents(docs, id_col, text_col)
-    first = first_places(texts, min_chars)
-    late = near_pairs(texts, first, edits).groupBy(F.col("doc_b").alias("doc")).agg(F.collect_set("place_b").alias("late"))
+    met = durable(meetings(first_lines(texts, min_chars), edits), "meetings")
+    first = met.where("role = 0").groupBy("doc").agg(F.collect_list("place").alias("places"))
+    late = late_lines(texts, met.where("shared"), edits).groupBy("doc").agg(F.collect_set("place").alias("late"))
     return first.join(late, "doc", "left").select("doc", F.when(F.col("late").isNull(), F.col("places")).otherwise(F.array_except("places", "late")).alias("places"))
 
 
