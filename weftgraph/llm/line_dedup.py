@@ -40,7 +40,7 @@ from weftgraph.plans.durable import durable
 
 EDITS, MIN_CHARS = 2, 24
 # Common letters whose counts bound the distance of two lines from below.
-COUNTED = ("e", "n", "t", "a", "i", "o", "r", " ")
+COUNTED = ("e", "n", "t", "a", "i", "o", "r", " ", "s", "h", "d", "l", "u", "c", "m", "g")
 _LAST = (1 << 63) - 1
 PROBE = 2
 
@@ -76,16 +76,18 @@ def keyed(lines: DataFrame, edits: int) -> DataFrame:
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of the letters, modulo 256, in the bytes of one long."""
+    """Counts of the letters, modulo 256, in the bytes of longs."""
     n = F.length(line)
-    return reduce(Column.bitwiseOR, (F.shiftleft((n - F.length(F.replace(line, F.lit(c)))).cast("long").bitwiseAND(255), 8 * k) for k, c in enumerate(COUNTED)))
+    count = [(n - F.length(F.replace(line, F.lit(c)))).cast("long").bitwiseAND(255) for c in COUNTED]
+    return F.array(*(reduce(Column.bitwiseOR, (F.shiftleft(c, 8 * k) for k, c in enumerate(count[i : i + 8]))) for i in range(0, len(count), 8)))
 
 
 def counts_apart(a: Column, b: Column) -> Column:
     """How far two counts are apart at least, summed over the letters; every edit adds at most two."""
 
-    def around(k: int) -> Column:  # modulo 256, the shorter way
-        d = F.abs(F.shiftright(a, 8 * k).bitwiseAND(255) - F.shiftright(b, 8 * k).bitwiseAND(255))
+    def around(i: int) -> Column:  # modulo 256, the shorter way
+        byte = lambda x: F.shiftright(F.get(x, F.lit(i // 8)), i % 8 * 8).bitwiseAND(255)
+        d = F.abs(byte(a) - byte(b))
         return F.least(d, 256 - d)
 
     return reduce(Column.__add__, map(around, range(len(COUNTED))))
