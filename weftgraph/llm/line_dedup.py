@@ -23,9 +23,9 @@ DataFrame expressions only. Index and probes carry hashes, not text.
 
 Defined results: a null text has no lines and stays null; an empty text stays
 empty; rows that repeat an id share the line numbers that stay; a null id comes
-last, after all others (ids lie below 2^63 - 1); an empty table gives an empty result. A line within the
-limits of a dropped line is dropped too. Columns of the input stay as they are
-but for the text.
+last, after all others (ids lie below 2^63 - 1); an empty table gives an empty
+result. A line within the limits of a dropped line is dropped too. Columns of
+the input stay as they are but for the text.
 """
 
 from __future__ import annotations
