@@ -156,6 +156,13 @@ def test_line_dedup(spark):
     assert got.columns == [*df.columns, "dropped_lines"]
 
 
+def test_line_dedup_partner_that_meets_one_line(spark):
+    docs = {1: "abcdefgh01234567890123456", 2: "abcdefghijklZmnopqrstYuvwx", 3: "abcdefghijklmnopqrstuvwx"}
+    assert distance(docs[2], docs[3]) == 2 and plainly(docs, 2, 24)[3] == ""
+    got = line_dedup.dedup_lines(spark.createDataFrame([*docs.items()], "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == plainly(docs, 2, 24)
+
+
 def test_line_dedup_edges(spark):
     line = "a line that is long enough to count"
     rows = [(2, line), (1, f"{line}\nshort\n{line}"), (3, None), (4, ""), (None, line), (5, line + "x" * 9000), (5, line + "x" * 9000)]

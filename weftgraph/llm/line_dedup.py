@@ -219,13 +219,13 @@ def late_lines(texts: DataFrame, shared: DataFrame, edits: int) -> DataFrame:
         both = with_line(with_line(pairs.distinct(), "a"), "b")
         return both.where(within_edits(F.col("line_a"), F.col("line_b"), edits)).select("b.doc", "b.place").distinct()
 
-    settled = verified(shared.where(F.col("other") < at).select(F.col("other").alias("a"), at.alias("b")))
-    open_ = shared.where("n > 1").select("key", "role", "doc", "place", "other")
-    named = open_.select("doc", "place").distinct()
-    counted = named.join(texts, "doc").select("doc", "place", letter_counts(F.get(_lines("text"), F.col("place"))).alias("counts"))
-    known = shared.select("key", "role", "doc", "place").join(counted, ["doc", "place"])
-    left = open_.join(settled, ["doc", "place"], "left_anti").join(counted, ["doc", "place"]).alias("r")
-    g = known.alias("g")
+    settled = durable(verified(shared.where(F.col("other") < at).select(F.col("other").alias("a"), at.alias("b"))), "settled")
+    open_ = shared.where((F.col("n") > 1) & (F.col("other") < at)).select("key", "role", "doc", "place", "other").join(settled, ["doc", "place"], "left_anti")
+    # every line of a key where one is open: an earlier partner can itself meet no more than one line
+    around = shared.select("key", "role", "doc", "place").join(open_.select("key").distinct(), "key", "left_semi")
+    counted = around.select("doc", "place").distinct().join(texts, "doc").select("doc", "place", letter_counts(F.get(_lines("text"), F.col("place"))).alias("counts"))
+    left = open_.join(counted, ["doc", "place"]).alias("r")
+    g = around.join(counted, ["doc", "place"]).alias("g")
     ends = {x: F.struct(F.col(f"{x}.doc").alias("doc"), F.col(f"{x}.place").alias("place")) for x in "gr"}
     across = (F.col("g.role") == PROBE) != (F.col("r.role") == PROBE)
     met = left.join(g, (F.col("r.key") == F.col("g.key")) & across & (ends["g"] < ends["r"]) & (ends["g"] != F.col("r.other")) & (counts_apart(F.col("g.counts"), F.col("r.counts")) <= 2 * edits))
