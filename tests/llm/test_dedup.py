@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from weftgraph.llm import exact_dedup, line_dedup, sharding, simhash
+from weftgraph.llm import exact_dedup, line_dedup, near_dedup, sharding, simhash
 
 SCHEMA = "doc_id long, text string, lang string, keep_id string"
 ROWS = [(1, "Same text\nhere", "a", "x"), (2, "same TEXT\nhere", "b", "y"), (3, "", "c", None), (4, None, None, "z"), (5, "Äpfel", "d", "w"), (6, "äpfel", "d", "w"), (None, "same text\nhere", None, None), (7, "long " * 3000, "e", "v"), (8, "long " * 2999 + "lonG ", "e", "v"), (8, "long " * 2999 + "lonG ", "e", "v"), (None, "alone", None, None)]
@@ -99,6 +99,32 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_stage_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(5))
+    docs, kinds = [], [0, 0, 1, 2, 3, 4, 6, 8, 11, 14]  # words changed of 400: similarities around and over 0.8
+    for i in range(12):
+        base = [word() for _ in range(400)]
+        for k, n in enumerate(kinds):
+            text = base.copy()
+            for at in rng.sample(range(400), n):
+                text[at] = word()
+            docs.append((100 * i + k, " ".join(text)))
+    docs += [(5000, ""), (5001, None), (5002, "few words"), (5003, "Few  words"), (None, docs[0][1])]
+    sets = [near_dedup.shingles(t or "") for _, t in docs]
+    near = np.array([[near_dedup.alike(a, b, 0.8) for b in sets] for a in sets])
+    fps = np.array([simhash.fingerprint(t or "", 5) for _, t in docs], np.uint64)
+    assert (near & (np.bitwise_count(fps[:, None] ^ fps[None, :]) > 4)).any()
+    label = components(near)
+    least = {c: min(d[0] for d, x in zip(docs, label) if x == c and d[0] is not None) for c in set(label)}
+    want = {d[0] for d, c in zip(docs, label) if d[0] == least[c]}
+    got = corpus_pipeline.one_of_each(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert {r.doc_id for r in got.collect()} == want
+    assert corpus_pipeline.one_of_each(spark, spark.createDataFrame([], "doc_id long, text string"), "").count() == 0
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
