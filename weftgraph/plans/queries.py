@@ -15,14 +15,9 @@ from weftgraph.operators.mesh import Mesh
 from weftgraph.plans import derived
 from weftgraph.plans.derived import SUPPLIER_BASE, table
 
-SPARSE = "l_quantity >= 50 and l_discount >= 0.1"
 SMALL = "id < 13"
 
 
-def _sparse(spark: SparkSession, sf: str) -> PropertyGraph:
-    return derived.part_supplier(spark, sf, SPARSE)
-
-
 def g_vertices(spark, sf):
     return derived.part_supplier(spark, sf).vertices.select("id")
 
@@ -36,7 +31,7 @@ def degrees(spark, sf):
 
 
 def neighbours(spark, sf):
-    return _sparse(spark, sf).neighbours().select("id", F.array_join("neighbours", ",").alias("neighbours"), F.size("outgoing").alias("n_outgoing"))
+    return derived.part_supplier(spark, sf).neighbours().select("id", F.array_join("neighbours", ",").alias("neighbours"), F.size("outgoing").alias("n_outgoing"))
 
 
 def subgraph_edges(spark, sf):
@@ -68,7 +63,7 @@ def orphan_edges(spark, sf):
 
 
 def remove_edges(spark, sf):
-    g = _sparse(spark, sf)
+    g = derived.part_supplier(spark, sf)
     return g.remove_edges(g.edges.where("src % 2 = 1")).edges.select("src", "dst")
 
 
@@ -84,7 +79,7 @@ def duplicate_edges(spark, sf):
 
 
 def copy_renumbered(spark, sf):
-    part, vertices, _ = _sparse(spark, sf).copy(edges="src % 2 = 0")
+    part, vertices, _ = derived.part_supplier(spark, sf).copy(edges="src % 2 = 0")
     return part.edges.select("eid", "src", "dst")
 
 
@@ -95,7 +90,7 @@ def find_edges(spark, sf):
 
 
 def other_ends(spark, sf):
-    g = _sparse(spark, sf)
+    g = derived.part_supplier(spark, sf)
     return g.other_ends(g.edges.select("eid", F.col("dst").alias("id"))).select("eid", "other")
 
 
@@ -120,11 +115,11 @@ def sssp_path(spark, sf):
 
 
 def connected_components(spark, sf):
-    return components.connected_components(_sparse(spark, sf))
+    return components.connected_components(derived.part_supplier(spark, sf))
 
 
 def connected_components_masked(spark, sf):
-    return components.connected_components(_sparse(spark, sf), vertices="id % 5 <> 0")
+    return components.connected_components(derived.part_supplier(spark, sf), vertices="id % 5 <> 0")
 
 
 def component_sizes(spark, sf):
