@@ -15,8 +15,6 @@ from weftgraph.operators.mesh import Mesh
 from weftgraph.plans import derived
 from weftgraph.plans.derived import SUPPLIER_BASE, table
 
-SMALL = "id < 13"
-
 
 def g_vertices(spark, sf):
     return derived.part_supplier(spark, sf).vertices.select("id")
@@ -173,23 +171,23 @@ def _value(spark: SparkSession, x: float) -> DataFrame:
 
 
 def maxflow_value(spark, sf):
-    return _value(spark, flow.max_flow(derived.nations(spark, sf, directed=True), 2, 11, "weight", vertices=SMALL).value)
+    return _value(spark, flow.max_flow(derived.nations(spark, sf, directed=True), 2, 11, "weight").value)
 
 
 def maxflow_value_undirected(spark, sf):
-    return _value(spark, flow.max_flow(derived.nations(spark, sf, directed=False), 2, 6, "weight", vertices=SMALL).value)
+    return _value(spark, flow.max_flow(derived.nations(spark, sf, directed=False), 2, 6, "weight").value)
 
 
 def cut_labels(spark, sf):
-    return flow.max_flow(derived.nations(spark, sf, directed=False), 2, 6, "weight", vertices=SMALL).labels.where("label <> 0")
+    return flow.max_flow(derived.nations(spark, sf, directed=False), 2, 6, "weight").labels
 
 
 def maxflow_multiple(spark, sf):
-    return _value(spark, flow.max_flow(derived.nations(spark, sf, directed=True), [0, 1], [11, 12], "weight", vertices=SMALL).value)
+    return _value(spark, flow.max_flow(derived.nations(spark, sf, directed=True), [0, 1], [11, 12], "weight").value)
 
 
 def mincut_value(spark, sf):
-    return _value(spark, flow.min_cut(derived.nations(spark, sf, directed=False), "weight", vertices="id < 12").value)
+    return _value(spark, flow.min_cut(derived.nations(spark, sf, directed=False), "weight").value)
 
 
 def _network(spark: SparkSession, sf: str) -> conductance.Conductance:
