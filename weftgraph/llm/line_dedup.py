@@ -6,26 +6,35 @@ smaller line number. Lines of fewer than ``min_chars`` characters stay.
 
 Same lines are combined on the map side first, so that a line that fills a
 third of the corpus costs no more than any other; the first occurrence stands
-for all. Each remaining line is cut into ``edits`` + 1 segments; within
-``edits`` edits at least one segment stays whole and can only have shifted by a
-little. Segments go into an index by (length of the line, number of the
-segment, content); every line probes it with the substrings at the places a
-segment can have moved to, for its own and the shorter lengths. What meets is
-verified by a banded bit-parallel edit distance: an automaton whose states
-(diagonals of the band, by number of edits) are the bits of one long, advanced
-by shifts and masks for each character.
+for all and gets a number. Each remaining line is cut into ``edits`` + 1
+segments; within ``edits`` edits at least one segment stays whole and can only
+have shifted by a little. Segments go into an index by (length of the line,
+number of the segment, content); every line probes it with the substrings at
+the places a segment can have moved to, for its own and the shorter lengths.
+What meets is verified by a banded bit-parallel edit distance: an automaton
+whose states (diagonals of the band, by number of edits) are the bits of one
+long, advanced by shifts and masks for each character.
+
+Index and probes carry hashes and numbers, not text. Keys are counted first,
+combined on the map side; only lines with a key that another line shares (few,
+in ordinary text) are looked at again, and only their text is fetched.
 
 A line needs one earlier line within the limit to go, so it is compared with
-the earliest line of each key first; only lines that this leaves open meet all
-of a key's earlier lines, and of those the ones whose letter counts allow it.
+the earliest line of each key first. Lines that this leaves open meet the
+earlier lines of a key that agree with them in the counts of a group of
+letters as well: an edit changes at most two counts, so of two groups for each
+edit and one more at least one is as it was. That parts the lines of a crowded
+key, by what else they hold, among tasks.
 
-DataFrame expressions only. Index and probes carry hashes, not text.
+DataFrame expressions only.
 
 Defined results: a null text has no lines and stays null; an empty text stays
 empty; rows that repeat an id share the line numbers that stay; a null id comes
-last, after all others (ids lie below 2^63 - 1); an empty table gives an empty
-result. A line within the limits of a dropped line is dropped too. Columns of
-the input stay as they are but for the text.
+last, after all others (ids lie below 2^63 - 1); ids that are not integers are
+refused with a ``TypeError``; an empty table gives an empty result. A line
+within the limits of a dropped line is dropped too. Work on a text grows with
+its length, however many lines it has. Columns of the input stay as they are
+but for the text; an input column named as ``dropped_col`` is replaced.
 """
 
 from __future__ import annotations
@@ -33,16 +42,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from weftgraph.plans.durable import durable
+from weftgraph.plans.durable import Scratch, durable
 
 EDITS, MIN_CHARS = 2, 24
-# Common letters whose counts bound the distance of two lines from below.
-COUNTED = ("e", "n", "t", "a", "i", "o", "r", " ", "s", "h", "d", "l", "u", "c", "m", "g")
+# Letters whose counts bound the distance of two lines from below, in the order of their frequency.
+COUNTED = ("e", "n", "t", "a", "i", "o", "r", " ", "s", "h", "d", "l", "u", "c", "m", "g", "f", "p", "b", "w")
 _LAST = (1 << 63) - 1
-PROBE = 2
+INDEX, PROBE = 0, 1
 
 
 def segment(length: Column, i: Column, edits: int) -> tuple[Column, Column]:
@@ -55,39 +65,49 @@ def segment(length: Column, i: Column, edits: int) -> tuple[Column, Column]:
 
 
 def places_to_look(edits: int) -> list[tuple[int, int, int, int]]:
-    """(role, length less, segment, shift): the index keys (role 0 for the first segment, 1) and probe keys (2) of a line.
+    """(role, length less, segment, shift) of a line's keys: its own segments, which are index and probe at once, and probes.
 
     A probe reaches index lines of its own and the shorter lengths. From the left
     at most ``i`` edits can have moved segment ``i``, from the right ``edits - i``.
     """
-    index = [(min(i, 1), 0, i, 0) for i in range(edits + 1)]
-    return index + [(PROBE, less, i, shift) for less in range(edits + 1) for i in range(edits + 1) for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
+    own = [(INDEX, 0, i, 0) for i in range(edits + 1)]
+    return own + [(PROBE, less, i, shift) for less in range(edits + 1) for i in range(edits + 1) for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1) if less or shift]
 
 
 def keyed(lines: DataFrame, edits: int) -> DataFrame:
-    """``lines`` (line, length, ...) with role and key for each place to look that lies inside the line."""
+    """id, role and key for lines (id, line), for each place to look that lies inside the line.
+
+    Characters are cut out of UTF-16, where each has its place, unless one of them takes two units.
+    """
     places = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("role", "less", "i", "shift"), p))) for p in places_to_look(edits)))
-    at = lines.select("*", F.explode(places).alias("at"))
+    marked = lines.select("id", "line", F.length("line").alias("length"), F.encode("line", "UTF-16BE").alias("units"))
+    at = marked.select("id", "line", "length", "units", F.explode(places).alias("at"))
     length = F.col("length") - F.col("at.less")
     start, n = segment(length, F.col("at.i"), edits)
-    start = start + F.col("at.shift")
-    inside = at.where((start >= 0) & (start + n <= F.col("length")))
-    return inside.withColumn("role", F.col("at.role").cast("byte")).withColumn("key", F.xxhash64(length, "at.i", F.substring(F.col("line"), start + 1, n))).drop("at")
+    placed = at.select("id", "line", "units", "length", "at", length.alias("of"), (start + F.col("at.shift")).alias("start"), n.alias("n")).where("start >= 0 and start + n <= length")
+    cut = F.when(F.octet_length("units") == 2 * F.col("length"), F.substring("units", F.col("start") * 2 + 1, F.col("n") * 2)).otherwise(F.encode(F.substring("line", F.col("start") + 1, F.col("n")), "UTF-16BE"))
+    return placed.select("id", F.col("at.role").cast("byte").alias("role"), F.xxhash64("of", "at.i", cut).alias("key"))
+
+
+def groups_of(edits: int) -> int:
+    """Groups of letters: more than the counts that ``edits`` edits can change, so that one group is as it was."""
+    return max(3, 2 * edits + 1)
 
 
-def letter_counts(line: Column) -> Column:
-    """Counts of the letters, modulo 256, in the bytes of longs."""
-    n = F.length(line)
+def letter_counts(line: Column, edits: int) -> Column:
+    """Counts of the letters, modulo 256, in the bytes of longs; a long is a group of letters, dealt in turn."""
+    n, groups = F.length(line), groups_of(edits)
     count = [(n - F.length(F.replace(line, F.lit(c)))).cast("long").bitwiseAND(255) for c in COUNTED]
-    return F.array(*(reduce(Column.bitwiseOR, (F.shiftleft(c, 8 * k) for k, c in enumerate(count[i : i + 8]))) for i in range(0, len(count), 8)))
+    return F.array(*(reduce(Column.bitwiseOR, (F.shiftleft(c, 8 * k) for k, c in enumerate(count[g::groups]))) for g in range(groups)))
 
 
-def counts_apart(a: Column, b: Column) -> Column:
+def counts_apart(a: Column, b: Column, edits: int) -> Column:
     """How far two counts are apart at least, summed over the letters; every edit adds at most two."""
 
     def around(i: int) -> Column:  # modulo 256, the shorter way
-        byte = lambda x: F.shiftright(F.get(x, F.lit(i // 8)), i % 8 * 8).bitwiseAND(255)
-        d = F.abs(byte(a) - byte(b))
+        at, byte = divmod(i, groups_of(edits))[::-1]
+        of = lambda x: F.shiftright(F.get(x, F.lit(at)), 8 * byte).bitwiseAND(255)
+        d = F.abs(of(a) - of(b))
         return F.least(d, 256 - d)
 
     return reduce(Column.__add__, map(around, range(len(COUNTED))))
@@ -170,8 +190,8 @@ def _lines(text: str | Column) -> Column:
     return F.split(text, "\n")
 
 
-def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text_col).alias("text"))
+def _doc(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
 
 
 def first_lines(texts: DataFrame, min_chars: int) -> DataFrame:
@@ -185,74 +205,78 @@ def first_lines(texts: DataFrame, min_chars: int) -> DataFrame:
     return first.select(((F.col("at") - place) / shift).cast("long").alias("doc"), place.cast("int").alias("place"), "line")
 
 
-def meetings(lines: DataFrame, edits: int) -> DataFrame:
-    """key, role, doc, place for lines (doc, place, line), with the earliest line that meets it from the other side
-    (``other``), the number that do (``n``), and whether the key has more than one line (``shared``).
+def meetings(lines: DataFrame, edits: int, durable: Scratch) -> DataFrame:
+    """key, role, id: the lines (id, line) of every key that an index line and another line share."""
+    counted = keyed(lines, edits).groupBy("key").agg(F.count("*").alias("n"), F.min("role").alias("role"))
+    shared = durable(counted.where((F.col("n") > 1) & (F.col("role") == INDEX)).select("key"), "shared-keys")
+    return keyed(lines, edits).join(shared, "key", "left_semi").select("key", "role", "id")
 
-    Keys of one line alone are left out but for the line's first segment.
-    """
-    marked = lines.withColumn("length", F.length("line"))
-    looked = keyed(marked, edits).select("key", "role", "doc", "place")
-    group, at, probe = Window.partitionBy("key"), F.struct("doc", "place"), F.col("role") == PROBE
-    over = lambda c: c.over(group)
-    own = looked.select(
-        "*", over(F.min(at)).alias("lo"), over(F.max(at)).alias("hi"), over(F.min(F.when(~probe, at))).alias("i0"), over(F.min(F.when(probe, at))).alias("p0"), over(F.count(F.when(~probe, 1))).alias("ni"), over(F.count(F.when(probe, 1))).alias("np")
-    )
-    kept = own.withColumn("shared", F.col("lo") != F.col("hi")).where("shared or role = 0")
-    return kept.select("key", "role", "doc", "place", "shared", F.when(probe, F.col("i0")).otherwise(F.col("p0")).alias("other"), F.when(probe, F.col("ni")).otherwise(F.col("np")).alias("n"))
-
-
-def late_lines(texts: DataFrame, shared: DataFrame, edits: int) -> DataFrame:
-    """doc, place of the lines with an earlier line within ``edits`` edits, from shared ``meetings``.
-
-    First a line is compared with the earliest line of each of its keys, one a
-    key whatever meets there. Lines that this does not settle are compared with
-    all earlier ones, bounded by counts of letters before pairs are made.
-    """
-    at = F.struct("doc", "place")
 
-    def with_line(pairs: DataFrame, side: str) -> DataFrame:
-        got = pairs.join(texts, pairs[f"{side}.doc"] == texts["doc"])
-        return got.select(*pairs.columns, F.get(_lines("text"), F.col(f"{side}.place")).alias(f"line_{side}"))
+def late_lines(lines: DataFrame, edits: int, durable: Scratch) -> DataFrame:
+    """id of the ``lines`` (id, doc, place, line) with an earlier line within ``edits`` edits."""
+    met = durable(meetings(lines, edits, durable), "meetings")
+    texts = lines.join(met.select("id").distinct(), "id", "left_semi")
+    texts = durable(texts.select("id", F.struct("doc", "place").alias("at"), "line", letter_counts(F.col("line"), edits).alias("counts")), "met-lines")
+
+    near = (counts_apart(F.col("counts_a"), F.col("counts_b"), edits) <= 2 * edits) & within_edits(F.col("line_a"), F.col("line_b"), edits)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = with_line(with_line(pairs.distinct(), "a"), "b")
-        return both.where(within_edits(F.col("line_a"), F.col("line_b"), edits)).select("b.doc", "b.place").distinct()
-
-    settled = durable(verified(shared.where(F.col("other") < at).select(F.col("other").alias("a"), at.alias("b"))), "settled")
-    open_ = shared.where((F.col("n") > 1) & (F.col("other") < at)).select("key", "role", "doc", "place", "other").join(settled, ["doc", "place"], "left_anti")
-    # every line of a key where one is open: an earlier partner can itself meet no more than one line
-    around = shared.select("key", "role", "doc", "place").join(open_.select("key").distinct(), "key", "left_semi")
-    counted = around.select("doc", "place").distinct().join(texts, "doc").select("doc", "place", letter_counts(F.get(_lines("text"), F.col("place"))).alias("counts"))
-    left = open_.join(counted, ["doc", "place"]).alias("r")
-    g = around.join(counted, ["doc", "place"]).alias("g")
-    ends = {x: F.struct(F.col(f"{x}.doc").alias("doc"), F.col(f"{x}.place").alias("place")) for x in "gr"}
-    across = (F.col("g.role") == PROBE) != (F.col("r.role") == PROBE)
-    met = left.join(g, (F.col("r.key") == F.col("g.key")) & across & (ends["g"] < ends["r"]) & (ends["g"] != F.col("r.other")) & (counts_apart(F.col("g.counts"), F.col("r.counts")) <= 2 * edits))
-    return settled.unionByName(verified(met.select(ends["g"].alias("a"), ends["r"].alias("b"))))
-
-
-def staying(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, places): the lines of at least ``min_chars`` characters that stay."""
-    texts = _documents(docs, id_col, text_col)
-    met = durable(meetings(first_lines(texts, min_chars), edits), "meetings")
-    first = met.where("role = 0").groupBy("doc").agg(F.collect_list("place").alias("places"))
-    late = late_lines(texts, met.where("shared"), edits).groupBy("doc").agg(F.collect_set("place").alias("late"))
-    return first.join(late, "doc", "left").select("doc", F.when(F.col("late").isNull(), F.col("places")).otherwise(F.array_except("places", "late")).alias("places"))
-
-
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the text that is left, and ``dropped_lines``: the numbers (from 0) of the lines that went."""
-    keep = staying(docs, edits, min_chars, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("places").alias("__places"))
-    if set(docs.columns) == {id_col, text_col}:  # the same exchange as for the comparison serves
-        keyed = _documents(docs, id_col, text_col).select(F.col("doc").alias("__doc"), F.nullif("doc", F.lit(_LAST)).alias(id_col), F.col("text").alias(text_col))
-    else:
-        keyed = docs.withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)))
-    met = keyed.join(keep, "__doc", "left").withColumn("__places", F.coalesce("__places", F.array().cast("array<int>")))
-    parts = F.transform(_lines(text_col), lambda x, i: F.struct(i.alias("i"), x.alias("x"), ((F.length(x) < min_chars) | F.array_contains(F.col("__places"), i)).alias("stays")))
-    met = met.withColumn("__parts", parts)
-    text = F.array_join(F.transform(F.filter("__parts", lambda p: p["stays"]), lambda p: p["x"]), "\n")
-    gone = F.coalesce(F.transform(F.filter("__parts", lambda p: ~p["stays"]), lambda p: p["i"]), F.array().cast("array<int>"))
-    rest = [F.col(c) for c in docs.columns if c != text_col]
-    out = met.select(*rest, F.when(F.col(text_col).isNotNull(), text).alias(text_col), gone.alias("dropped_lines"))
-    return out.select(*docs.columns, "dropped_lines")
+        """Of pairs of line numbers (a, b) the b that are within the limit of their a."""
+        side = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"), F.col("counts").alias(f"counts_{x}"))
+        both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+        return both.where(near).select(F.col("b").alias("id")).distinct()
+
+    rows = durable(met.join(texts.select("id", "at", "counts"), "id"), "met-rows")
+    own, every = F.col("role") == INDEX, F.struct("at", "id")
+    first = durable(rows.groupBy("key").agg(F.min(F.when(own, every)).alias("index"), F.min(every).alias("any"), F.count("*").alias("n")), "first-of-keys")
+    # an index line may meet any line of its key, a probe the index lines
+    partner = F.when(own, F.col("any")).otherwise(F.col("index"))
+    beside = rows.join(first, "key").select("key", "role", "id", "at", "counts", "n", partner.alias("partner"))
+    settled = durable(verified(beside.where(F.col("partner.at") < F.col("at")).select(F.col("partner.id").alias("a"), F.col("id").alias("b"))), "settled")
+    open_ = beside.where((F.col("n") > 2) & (F.col("partner.at") < F.col("at"))).join(settled, "id", "left_anti")
+
+    def parted(some: DataFrame, name: str) -> DataFrame:
+        """Rows for each group of letters, to meet in one of them."""
+        group = F.posexplode("counts").alias("group", "held")
+        return some.select("*", group).select("key", "group", "held", F.struct(*(c for c in some.columns if c != "key")).alias(name))
+
+    # every line of a key where one is open: an earlier partner can itself be settled
+    around = rows.join(open_.select("key").distinct(), "key", "left_semi")
+    both = parted(open_.select("key", "role", "id", "at", "counts", F.col("partner.id").alias("done")), "r").join(parted(around, "g"), ["key", "group", "held"])
+    met_too = both.where(((F.col("g.role") == INDEX) | (F.col("r.role") == INDEX)) & (F.col("g.at") < F.col("r.at")) & (F.col("g.id") != F.col("r.done")) & (counts_apart(F.col("g.counts"), F.col("r.counts"), edits) <= 2 * edits))
+    more = verified(met_too.select(F.col("g.id").alias("a"), F.col("r.id").alias("b")))
+    return settled.unionByName(more)
+
+
+def staying(texts: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(doc, places): the lines of at least ``min_chars`` characters that stay, from (doc, text)."""
+    with Scratch() as scratch:
+        lines = scratch(first_lines(texts, min_chars).select(F.monotonically_increasing_id().alias("id"), "doc", "place", "line"), "lines")
+        late = scratch(late_lines(lines, edits, scratch), "late-lines")
+        left = lines.select("id", "doc", "place").join(late, "id", "left_anti")
+        return durable(left.groupBy("doc").agg(F.collect_list("place").alias("places")), "staying")
+
+
+def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", dropped_col: str = "dropped_lines") -> DataFrame:
+    """``docs`` with the text that is left, and ``dropped_col``: the numbers (from 0) of the lines that went."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be an integer column; its order says which line is earlier")
+    keep = staying(docs.select(_doc(id_col).alias("doc"), F.col(text_col).alias("text")), edits, min_chars)
+    rest = [c for c in docs.columns if c != dropped_col]
+    # one struct, so that no name of the input meets one of ours
+    rows = docs.select(_doc(id_col).alias("doc"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"))
+    met = rows.join(keep.hint("shuffle_hash"), "doc", "left").withColumn("text", F.col("row").getField(text_col))
+
+    def cut(line: Column) -> Column:  # of the lines of a text, split once: array_except is linear, a search for each line is not
+        every = F.sequence(F.lit(0), F.size(line) - 1)
+        long = F.filter(every, lambda i: F.length(F.get(line, i)) >= min_chars)
+        gone = F.array_except(long, F.coalesce(F.col("places"), F.array().cast("array<int>")))
+        return F.struct(line.alias("line"), every.alias("every"), gone.alias("gone"))
+
+    def joined(c: Column) -> Column:
+        text = F.when(F.size(c["gone"]) == 0, F.col("text")).otherwise(F.array_join(F.transform(F.array_except(c["every"], c["gone"]), lambda i: F.get(c["line"], i)), "\n"))
+        return F.struct(text.alias("text"), c["gone"].alias("gone"))
+
+    none = F.array().cast("array<int>")
+    out = met.select("row", F.when(F.col("text").isNotNull(), _let(_let(_lines("text"), cut), joined)).alias("out"))
+    return out.select(*((F.col("out.text") if c == text_col else F.col("row").getField(c)).alias(c) for c in rest), F.coalesce("out.gone", none).alias(dropped_col))
