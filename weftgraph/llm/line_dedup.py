@@ -17,7 +17,9 @@ long, advanced by shifts and masks for each character.
 
 Index and probes carry hashes and numbers, not text. Keys are counted first,
 combined on the map side; only lines with a key that another line shares (few,
-in ordinary text) are looked at again, and only their text is fetched.
+in ordinary text) are looked at again, and only their text is fetched. These
+joins hash the smaller side by partition, so that they go the same way, without
+a broadcast or a sort, at every size.
 
 A line needs one earlier line within the limit to go, so it is compared with
 the earliest line of each key first. Lines that this leaves open meet the
@@ -209,13 +211,13 @@ def meetings(lines: DataFrame, edits: int, durable: Scratch) -> DataFrame:
     """key, role, id: the lines (id, line) of every key that an index line and another line share."""
     counted = keyed(lines, edits).groupBy("key").agg(F.count("*").alias("n"), F.min("role").alias("role"))
     shared = durable(counted.where((F.col("n") > 1) & (F.col("role") == INDEX)).select("key"), "shared-keys")
-    return keyed(lines, edits).join(shared, "key", "left_semi").select("key", "role", "id")
+    return keyed(lines, edits).join(shared.hint("shuffle_hash"), "key", "left_semi").select("key", "role", "id")
 
 
 def late_lines(lines: DataFrame, edits: int, durable: Scratch) -> DataFrame:
     """id of the ``lines`` (id, doc, place, line) with an earlier line within ``edits`` edits."""
     met = durable(meetings(lines, edits, durable), "meetings")
-    texts = lines.join(met.select("id").distinct(), "id", "left_semi")
+    texts = lines.join(met.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
     texts = durable(texts.select("id", F.struct("doc", "place").alias("at"), "line", letter_counts(F.col("line"), edits).alias("counts")), "met-lines")
 
     near = (counts_apart(F.col("counts_a"), F.col("counts_b"), edits) <= 2 * edits) & within_edits(F.col("line_a"), F.col("line_b"), edits)
