@@ -12,8 +12,9 @@ table is written once, so repeated tasks see the same positions. One number
 for each partition reaches the driver.
 
 Defined results: a null text counts as empty and gives the end id alone;
-repeated rows are packed each; an empty table gives an empty result. Other
-columns of the input are ignored.
+repeated rows are packed each; a very long text is held by one task while its
+ids and pieces are made, at a cost in proportion to its length (up to 2^29 ids);
+an empty table gives an empty result. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import slices
@@ -75,11 +76,14 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, window: int = WINDOW, id_col:
     base = [*accumulate((n for _, n in totals), initial=0)]
     bases = spark.createDataFrame([(p, b) for (p, _), b in zip(totals, base)], "part long, base long")
     placed = tokens.join(F.broadcast(bases), "part").select("doc_id", "ids", count.alias("doc_tokens"), (F.col("base") + F.col("local_start")).alias("begin"))
-    # sequences that the document touches; each gives one piece
+    # sequences that the document touches; each gives one piece, cut before rows are made, so that a row has its own ids only
     touched = F.expr(f"sequence(begin div {window}, (begin + doc_tokens - 1) div {window})")
-    piece = placed.select("*", F.explode(touched).alias("sequence_id"))
-    lo = F.greatest(F.col("begin"), F.col("sequence_id") * window)
-    hi = F.least(F.col("begin") + F.col("doc_tokens"), (F.col("sequence_id") + 1) * window)
-    piece = piece.select("doc_id", (lo - F.col("begin")).alias("start"), (hi - lo).alias("length"), "ids", "doc_tokens", "sequence_id", (lo - F.col("sequence_id") * window).alias("offset"))
-    cut = F.expr("substring(ids, cast(start * 4 + 1 as int), cast(length * 4 as int))")
-    return piece.withColumn("ids", cut)
+
+    def piece(sequence: Column) -> Column:
+        lo = F.greatest(F.col("begin"), sequence * window)
+        start, length = lo - F.col("begin"), F.least(F.col("begin") + F.col("doc_tokens"), (sequence + 1) * window) - lo
+        ids = F.substring(F.col("ids"), (start * 4 + 1).cast("int"), (length * 4).cast("int"))
+        return F.struct(start.alias("start"), length.alias("length"), ids.alias("ids"), sequence.alias("sequence_id"), (lo - sequence * window).alias("offset"))
+
+    pieces = placed.select("doc_id", "doc_tokens", F.explode(F.transform(touched, piece)).alias("piece"))
+    return pieces.select("doc_id", "piece.start", "piece.length", "piece.ids", "doc_tokens", "piece.sequence_id", "piece.offset")

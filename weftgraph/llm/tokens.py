@@ -4,8 +4,9 @@ The pattern that splits text before the merges never joins a letter and a
 following ASCII character that is no letter, nor any character and white space
 that follows it. Cutting at such places gives the same ids. Distinct words are
 encoded by ``tiktoken`` from the vocabulary's ranks, many in one call; texts
-with rarer white space or control characters go whole to ``tokenizers``, whose
-ids the results equal everywhere.
+with rarer white space, control characters or strings that the vocabulary adds
+(such as its end mark) go whole to ``tokenizers``, whose ids the results equal
+everywhere.
 """
 
 from __future__ import annotations
@@ -61,7 +62,8 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: strings that the library turns into ids of their own wherever they stand in a text
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.words = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -90,7 +92,8 @@ class Ids:
         if not len(data):
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
         kind = _CLASS[data]
-        odd = np.unique(np.searchsorted(ends, _odd(data, kind), side="right"))
+        added = [i for i, t in enumerate(texts) if any(x in t for x in self.added)]
+        odd = np.unique(np.concatenate([np.searchsorted(ends, _odd(data, kind), side="right"), np.array(added, np.int64)]))
         if len(odd):
             plain = [t for i, t in enumerate(texts) if i not in set(odd.tolist())]
             ids, stops = self.encode(plain) if plain else (np.empty(0, np.uint32), np.empty(0, np.int64))
