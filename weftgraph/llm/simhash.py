@@ -229,8 +229,10 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle_words:
     fps = durable(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     reach = min_reachable(near_links(nodes, threshold, most_held), "a", "b")
-    classed = nodes.join(reach.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
-    named = classed.join(classed.groupBy("class").agg(F.min("least").alias("component_id")), "class").select("fp", "component_id")
+    classed = durable(nodes.join(reach.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("class")), "classes")
+    # names are written first: a join of two tables is dealt anew where a class or a fingerprint is crowded, one with a sum is not
+    names = durable(classed.groupBy("class").agg(F.min("least").alias("component_id")), "names")
+    named = durable(classed.join(names, "class").select("fp", "component_id"), "named")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
