@@ -71,11 +71,11 @@ def identities(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256.
-
-    ``docs`` must list its rows in the same order whenever it is evaluated, as a table scan does.
-    """
+    """One row per input row: id, keep_id, group_size, kept, text_sha256."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("text"))
-    named = rows.select("rid", "doc_id", F.sha2("text", 256).alias("text_sha256")).join(identities(rows.select("rid", "text"), block_bytes), "rid")
-    groups = named.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    rows = durable(rows.withColumn("text_sha256", F.sha2("text", 256)), "numbered")  # whatever gave the rows, their numbers hold from here
+    named = durable(rows.select("rid", "doc_id", "text_sha256").join(identities(rows.select("rid", "text"), block_bytes), "rid"), "named")
+    drop_durable(rows)
+    # groups are written first: a join of two tables is dealt anew where a name is crowded, one with a sum is not
+    groups = durable(named.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     return named.join(groups, ["level", "name"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
