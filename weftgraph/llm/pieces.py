@@ -14,11 +14,15 @@ that occur in no longer piece never join; words end there, and each distinct
 word is encoded once. Characters without a piece become their bytes' pieces.
 
 Defined results: a null text counts as empty and has no ids; repeated rows get
-equal ids; rows pass in slices of bounded size.
+equal ids; an empty table gives an empty result; columns of the input other
+than id and text are ignored. Rows pass in slices of bounded size; a very long
+text is held by one task, at a cost of n log n for its longest word of n
+characters, and its suffixes are sorted a stretch at a time.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +35,8 @@ from weftgraph.llm.common import slices
 from weftgraph.llm.lexicon import Lexicon, joined
 
 SPACE = "▁"
+#: Longer words are relaxed one by one with a heap, shorter ones together in rounds; the ids are the same.
+LONG_WORD = 64
 
 
 class Model:
@@ -68,6 +74,47 @@ class Model:
         return t.encode("utf-32-be").replace(b"\0\0\0\0", b"")
 
 
+def relax_by_heap(first: int, size: int, spans: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of the symbols of one word, relaxed with a heap of its pairs by (rank, place).
+
+    The same contractions in the same order as the rounds make, at n log n steps for a word of n characters.
+    """
+    a, b = np.searchsorted(spans, [first * 64, (first + size) * 64])
+    spans, ranks = spans[a:b], ranks[a:b]
+    length, before = np.ones(size, np.int64), np.arange(-1, size - 1)
+    two = (first + np.arange(size)) * 64 + 2
+    at = np.minimum(np.searchsorted(spans, two), max(len(spans) - 1, 0))
+    hits = np.flatnonzero(spans[at] == two) if len(spans) else np.empty(0, np.int64)
+    heap = [(r, i, 2) for r, i in zip(ranks[at[hits]].tolist(), hits.tolist()) if i + 1 < size]
+    heapq.heapify(heap)
+    length, before = length.tolist(), before.tolist()
+
+    def offer(i: int) -> None:
+        """The pair of the symbol at ``i`` and its right neighbour, if an edge spans it."""
+        j = i + length[i]
+        if i >= 0 and j < size:
+            n = length[i] + length[j]
+            span = (first + i) * 64 + n
+            k = int(spans.searchsorted(span)) if n < 64 else len(spans)
+            if k < len(spans) and spans[k] == span:
+                heapq.heappush(heap, (int(ranks[k]), i, n))
+
+    while heap:
+        _, i, n = heapq.heappop(heap)
+        j = i + length[i]
+        if not length[i] or j >= size or length[i] + length[j] != n:
+            continue  # one of the two has changed since
+        length[i], length[j] = n, 0
+        if i + n < size:
+            before[i + n] = i
+        offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    length = np.array(length, np.int64)
+    left = np.flatnonzero(length)
+    return first + left, length[left]
+
+
 class Pieces:
     def __init__(self, path: str, most_words: int = 1 << 20, index_chars: int = 1 << 18):
         self.model, self.index_chars = Model(path), index_chars
@@ -75,20 +122,24 @@ class Pieces:
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start * 64 + length) sorted, id and rank of every occurrence of a piece in the code points."""
-        m, depth = self.model, self.model.longest
+        m, depth, found = self.model, self.model.longest, []
         padded = np.concatenate([codes, np.zeros(depth, np.uint32)]).astype(">u4")
-        windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, depth)[: len(codes)])
-        keys = windows.view(f"S{4 * depth}").ravel()
-        suffixes = np.argsort(keys, kind="stable")
-        keys = keys[suffixes]
-        lo = np.searchsorted(keys, m.piece_key)
-        hi = np.searchsorted(keys, m.piece_end)
-        n = hi - lo
-        which = np.repeat(np.arange(len(n)), n)
-        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        spans = suffixes[at] * 64 + m.piece_len[which]
-        order = np.argsort(spans)
-        return spans[order], m.piece_id[which[order]], m.piece_rank[which[order]]
+        # no piece is longer than a key, so suffixes can be sorted a stretch of them at a time
+        for first in range(0, len(codes), self.index_chars):
+            own = padded[first : min(first + self.index_chars, len(codes)) + depth]
+            windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(own, depth)[: len(own) - depth])
+            keys = windows.view(f"S{4 * depth}").ravel()
+            suffixes = np.argsort(keys, kind="stable")
+            keys = keys[suffixes]
+            lo = np.searchsorted(keys, m.piece_key)
+            hi = np.searchsorted(keys, m.piece_end)
+            n = hi - lo
+            which = np.repeat(np.arange(len(n)), n)
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            spans = (suffixes[at] + first) * 64 + m.piece_len[which]
+            order = np.argsort(spans)
+            found.append((spans[order], m.piece_id[which[order]], m.piece_rank[which[order]]))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
     def _relax(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         m = self.model
@@ -97,10 +148,14 @@ class Pieces:
         spans, ids, ranks = self.edges(codes)
         lengths = np.array([len(w) for w in words])
         word = np.repeat(np.arange(len(words)), lengths + 1)
-        inside = np.ones(len(codes), bool)
+        inside = np.repeat(lengths <= LONG_WORD, lengths + 1)
         inside[np.cumsum(lengths + 1) - 1] = False
-        start, length, word = np.flatnonzero(inside), np.ones(int(lengths.sum()), np.int64), word[inside]
+        start, word = np.flatnonzero(inside), word[inside]
+        length = np.ones(len(start), np.int64)
         done: list[tuple[np.ndarray, np.ndarray]] = []  # start and length of what no longer changes
+        for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+            at = int(lengths[:i].sum()) + i
+            done.append(relax_by_heap(at, len(words[i]), spans, ranks))
         far = np.iinfo(np.int64).max
         while len(start):
             # the edge over each symbol and its right neighbour
@@ -230,5 +285,3 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
-
-
