@@ -11,8 +11,12 @@ and random-access points.
 
 Equal payloads give equal streams. Defined results: a null payload counts as
 empty and gives a stream of tables only; a damaged stream gives its errors in
-``problems`` instead of failing the job. Rows pass through in slices of bounded
-size, one row at a time.
+``problems`` instead of failing the job, and what can be read of it; packets
+sent twice count once. Of several elementary streams the one of smallest PID is
+read. Input columns named as an output column (``media``; those of ``READ``)
+are replaced, others stay. An empty table gives an empty result. Rows pass
+through in slices of bounded size, one row at a time; a very long payload is
+held by one task, at a cost in proportion to its length.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftgraph.llm.common import slices
 
@@ -105,14 +110,45 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _sections_ok(packet: np.ndarray, table_id: int) -> bytes | None:
-    """The body of the section that starts in this packet, if its CRC holds."""
-    raw = packet.tobytes()
-    at = 4 + (1 + raw[4] if raw[3] & 0x20 else 0)
-    at += 1 + raw[at]
-    length = (raw[at + 1] & 0x0F) << 8 | raw[at + 2]
-    section = raw[at : at + 3 + length]
-    return section[8:-4] if section[0] == table_id and crc_mpeg(section) == 0 else None
+def _payloads(packets: np.ndarray) -> list[bytes]:
+    """What each packet carries behind its header and adaptation field."""
+    skip = np.where(packets[:, 3] & 0x20 != 0, packets[:, 4].astype(np.int32) + 5, 4)
+    return [raw[min(k, PACKET) :] if has else b"" for raw, k, has in zip(map(bytes, packets), skip.tolist(), (packets[:, 3] & 0x10 != 0).tolist())]
+
+
+def _section_body(packets: np.ndarray, table_id: int) -> bytes | None:
+    """The body of the first section of a table that begins in ``packets`` (of one PID) and whose CRC holds."""
+    starts, payloads = packets[:, 1] & 0x40 != 0, _payloads(packets)
+    for i in np.flatnonzero(starts).tolist():
+        raw = payloads[i]
+        held = raw[1 + raw[0] :] if raw else b""  # behind the pointer field
+        for more, begins in zip(payloads[i + 1 :], starts[i + 1 :].tolist()):
+            if len(held) >= 3 and len(held) >= 3 + ((held[1] & 0x0F) << 8 | held[2]):
+                break
+            held += more[1 : 1 + more[0]] if begins and more else more
+            if begins:
+                break
+        if len(held) < 3 or held[0] != table_id:
+            continue
+        section = held[: 3 + ((held[1] & 0x0F) << 8 | held[2])]
+        if len(section) >= 12 and crc_mpeg(section) == 0:
+            return section[8:-4]
+    return None
+
+
+def _elementary(p: np.ndarray, pid: np.ndarray) -> dict[int, int]:
+    """PID and type of the elementary streams that the programmes of the association table list."""
+    streams: dict[int, int] = {}
+    programmes = _section_body(p[pid == 0], 0) or b""
+    for k in range(0, len(programmes) - 3, 4):
+        if programmes[k : k + 2] == b"\0\0":
+            continue  # programme 0 is the network's table
+        listed = _section_body(p[pid == ((programmes[k + 2] & 0x1F) << 8 | programmes[k + 3])], 2) or b""
+        at = 4 + ((listed[2] & 0x0F) << 8 | listed[3]) if len(listed) >= 4 else len(listed)
+        while at + 5 <= len(listed):
+            streams[(listed[at + 1] & 0x1F) << 8 | listed[at + 2]] = listed[at]
+            at += 5 + ((listed[at + 3] & 0x0F) << 8 | listed[at + 4])
+    return streams
 
 
 def demux(media: bytes) -> dict:
@@ -126,42 +162,46 @@ def demux(media: bytes) -> dict:
     if (p[:, 0] != SYNC).any():
         problems.append("sync")
         return none
-    pid, control, start = (p[:, 1].astype(np.int32) & 0x1F) << 8 | p[:, 2], p[:, 3] >> 4 & 3, p[:, 1] & 0x40 != 0
-    streams: dict[int, int] = {}
-    for first in np.flatnonzero((pid == 0) & start)[:1]:
-        body = _sections_ok(p[first], 0)
-        for k in range(0, len(body or b""), 4):
-            map_pid = (body[k + 2] & 0x1F) << 8 | body[k + 3]
-            for m in np.flatnonzero((pid == map_pid) & start)[:1]:
-                listed = _sections_ok(p[m], 2) or b""
-                at = 4 + ((listed[2] & 0x0F) << 8 | listed[3]) if listed else 0
-                while at < len(listed):
-                    streams[(listed[at + 1] & 0x1F) << 8 | listed[at + 2]] = listed[at]
-                    at += 5 + ((listed[at + 3] & 0x0F) << 8 | listed[at + 4])
+    pid = (p[:, 1].astype(np.int32) & 0x1F) << 8 | p[:, 2]
+    streams = _elementary(p, pid)
     if not streams:
         problems.append("tables")
         return none
     es = min(streams)
     at = np.flatnonzero(pid == es)
-    own, control, start = p[at], control[at], start[at]
+    own = p[at]
+    if len(own) > 1:
+        # a packet may be sent twice in a row, with the same counter and content but for the clock
+        again = np.append(False, ((own[1:, 3] ^ own[:-1, 3]) & 15 == 0) & (own[1:, 3] & 0x10 != 0) & (own[1:, 12:] == own[:-1, 12:]).all(1) & (own[1:, :4] == own[:-1, :4]).all(1))
+        at, own = at[~again], own[~again]
+    control, start = own[:, 3] >> 4 & 3, own[:, 1] & 0x40 != 0
     counters = own[:, 3] & 15
-    if ((np.diff(counters.astype(np.int16)) & 15) != (control[1:] & 1)).any():
-        problems.append("continuity")
     adapted = control & 2 != 0
+    flags = np.where(adapted & (own[:, 4] > 0), own[:, 5], 0)
+    off = (np.diff(counters.astype(np.int16)) & 15) != (control[1:] & 1)
+    if (off & (flags[1:] & 0x80 == 0)).any():
+        problems.append("continuity")
     skip = np.where(adapted, own[:, 4].astype(np.int32) + 5, 4)
-    access = adapted & (own[:, 4] > 0) & (own[:, 5] & 0x40 != 0)
+    access = flags & 0x40 != 0
     keep = (np.arange(PACKET) >= skip[:, None]) & (control & 1 != 0)[:, None]
     stream, ends = own[keep].tobytes(), np.cumsum(keep.sum(1))
     heads = np.flatnonzero(start)
     begins = (ends[heads] - keep[heads].sum(1)).tolist()
+    if begins and begins[0] or not begins and stream:
+        problems.append("pes")  # bytes before the first packet of a unit
     parts, pts = [], []
     for a, b in zip(begins, [*begins[1:], len(stream)]):
         pes = stream[a:b]
-        if pes[:3] != b"\x00\x00\x01" or int.from_bytes(pes[4:6], "big") != len(pes) - 6:
+        length = int.from_bytes(pes[4:6], "big")
+        # length 0: up to the next unit
+        if len(pes) < 9 or pes[:3] != b"\x00\x00\x01" or length and length != len(pes) - 6 or 9 + pes[8] > len(pes):
             problems.append("pes")
             continue
         if pes[7] & 0x80:
             s = pes[9:14]
+            if pes[8] < 5:
+                problems.append("pes")
+                continue
             pts.append((s[0] >> 1 & 7) << 30 | s[1] << 22 | s[2] >> 1 << 15 | s[3] << 7 | s[4] >> 1)
         parts.append(pes[9 + pes[8] :])
     marks = np.flatnonzero(access[heads])
@@ -170,15 +210,15 @@ def demux(media: bytes) -> dict:
 
 def store(rows: DataFrame, payload_col: str = "payload") -> DataFrame:
     """``rows`` with the binary column ``media`` in place of the payload."""
-    kept = [c for c in rows.columns if c != payload_col]
+    kept = [f for f in rows.schema if f.name not in (payload_col, "media")]
+    names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, payload_col):
-            media = [mux(x or b"") for x in b.column(b.schema.get_field_index(payload_col)).to_pylist()]
-            yield pa.record_batch([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(media, pa.binary())], [*kept, "media"])
+            media = [mux(x or b"") for x in b.column(payload_col).to_pylist()]
+            yield pa.record_batch([*(b.column(c) for c in names), pa.array(media, pa.binary())], [*names, "media"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept)
-    return rows.mapInArrow(run, f"{fields}, media binary")
+    return rows.select(*(f"`{c}`" for c in names), f"`{payload_col}`").mapInArrow(run, T.StructType([*kept, T.StructField("media", T.BinaryType())]))
 
 
 READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, stream_type int, packets long, pts array<long>, access_units array<long>, access_bytes array<long>, problems array<string>"
@@ -186,12 +226,14 @@ READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes
 
 def read(rows: DataFrame) -> DataFrame:
     """``rows`` with what their ``media`` holds, which is read back byte by byte, instead of the bytes."""
-    kept = [c for c in rows.columns if c != "media"]
+    out = T.StructType.fromDDL(READ)
+    kept = [f for f in rows.schema if f.name != "media" and f.name not in out.names]
+    names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "media"):
             cols: list[list] = [[] for _ in range(11)]
-            for media in b.column(b.schema.get_field_index("media")).to_pylist():
+            for media in b.column("media").to_pylist():
                 got = demux(media or b"")
                 payload = got["payload"]
                 values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media or b""), hashlib.sha256(media or b"").hexdigest(), got["stream_type"], got["packets"], got["pts"], got["access_units"], got["access_bytes"], got["problems"])
@@ -199,10 +241,9 @@ def read(rows: DataFrame) -> DataFrame:
                     col.append(v)
             longs, kinds = pa.list_(pa.int64()), [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64()]
             arrays = [pa.array(c, k) for c, k in zip(cols, [*kinds, longs, longs, longs, pa.list_(pa.string())])]
-            yield pa.record_batch([*(b.column(b.schema.get_field_index(c)) for c in kept), *arrays], [*kept, *(x.split()[0] for x in READ.split(", "))])
+            yield pa.record_batch([*(b.column(c) for c in names), *arrays], [*names, *out.names])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept)
-    return rows.mapInArrow(run, f"{fields}, {READ}")
+    return rows.select(*(f"`{c}`" for c in names), "media").mapInArrow(run, T.StructType([*kept, *out.fields]))
 
 
 def padded(text: Column) -> Column:
