@@ -15,8 +15,9 @@ size of the data. Scoring takes one pass without a shuffle.
 Defined results: a null text counts as empty and is scored like any other;
 labels that are null are not used; an id with several labels counts as good
 only if all say so; with no labels, or one kind only, all scores are the share
-of good labels (0.5 without any). Repeated rows get equal scores; an empty
-table gives an empty result.
+of good labels (0.5 without any). Repeated rows get equal scores; other columns
+of the input stay; a very long text is held by one task, at a cost in
+proportion to its length; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -192,7 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, id
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
-    """``docs`` with a column ``score_col`` between 0 and 1 (higher: good is likelier)."""
+    """``docs`` with a column ``score_col`` between 0 and 1 (higher: good is likelier), in place of one of that name."""
+    docs = docs.drop(score_col)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

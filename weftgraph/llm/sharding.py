@@ -8,8 +8,9 @@ shard, what is left asks the second shard of its arc, and so on. With
 ``slack`` 0 the capacities add up to the number of rows, so that counts are at
 most one apart; with more slack fewer keys leave their home.
 
-Only counts by arc reach the driver (shards x virtual nodes, whatever the
-size of the data). A row finds its place from its rank within its arc, which
+Only counts by arc and partition reach the driver: an arc lies in consecutive
+partitions, so these are at most as many as arcs (shards x virtual nodes) and
+partitions together. A row finds its place from its rank within its arc, which
 comes from one range sort and a prefix sum over partition totals.
 
 Defined results: a null text counts as no bytes; a null id hashes like any
@@ -71,13 +72,14 @@ def capacities(rows: int, shards: int, slack: float = 0.0) -> list[int]:
 
 
 def assign(rows: DataFrame, key: str, shards: int, virtual_nodes: int = VIRTUAL_NODES, slack: float = 0.0) -> DataFrame:
-    """``rows`` with shard int and slot long (gapless from 0 within a shard)."""
+    """``rows`` with shard int and slot long (gapless from 0 within a shard), in place of columns of these names."""
     spark, (points, owners) = rows.sparkSession, ring(shards, virtual_nodes)
 
     @F.pandas_udf("int")
     def arc_of(point: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(points, point.to_numpy()) % len(points)).astype("int32")
 
+    rows = rows.drop("shard", "slot")
     own = rows.columns
     placed = rows.withColumn("__point", F.xxhash64(F.col(key))).withColumn("__arc", arc_of("__point"))
     by = ["__arc", "__point", *own]
