@@ -80,5 +80,27 @@ def log_of(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", at.alias("message"), F.lit(0).cast("long").alias("seq"), F.lit("delta").alias("kind"), "role", "text")
 
 
+def stream_of(turns: DataFrame, deltas: int = 16, least: int = 64) -> DataFrame:
+    """An event log that leads to finished turns (conv_id, turn, role, text), as a chat writes it.
+
+    A draft comes first and is regenerated; the text then arrives in up to
+    ``deltas`` deltas of ``least`` characters or more. Every third message loses its
+    last character on the way and is edited to its whole text at the end.
+    """
+    base = log_of(turns)
+    text, edited = F.coalesce("text", F.lit("")), F.col("message") % 3 == 0
+    length = F.length(text) - F.when(edited, F.least(F.length(text), F.lit(1))).otherwise(0)
+    size = F.greatest(F.lit(least), F.ceil(length / deltas)).cast("int")
+
+    def event(seq: Column, kind: str, said: Column, role: Column) -> Column:
+        return F.struct(seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), said.alias("text"), role.cast("string").alias("role"))
+
+    start = F.array(event(F.lit(0), "delta", F.lit("..."), F.col("role")), event(F.lit(1), "regenerate", F.lit(""), F.lit(None)))
+    numbers = F.sequence(F.lit(0), F.greatest(F.ceil(length / size).cast("int") - 1, F.lit(0)))
+    parts = F.transform(numbers, lambda k: event(k + 2, "delta", F.substring(text, k * size + 1, F.least(size, length - k * size)), F.lit(None)))
+    end = F.when(edited, F.array(event(F.lit(deltas + 3), "edit", text, F.lit(None)))).otherwise(F.array_repeat(start[0], 0))
+    return base.select("conv_id", "message", F.explode(F.concat(start, parts, end)).alias("event")).select("conv_id", "message", "event.seq", "event.kind", "event.role", "event.text")
+
+
 def format_chats(events: DataFrame) -> DataFrame:
     return render(fold(events))
