@@ -33,9 +33,9 @@ def nations(spark: SparkSession, sf_dir: str, directed: bool, top: int = 3) -> P
     return PropertyGraph(vertices, edges, directed)
 
 
-def users(spark: SparkSession, sf_dir: str, over: int) -> PropertyGraph:
-    """A user leads to the user of the next purchase above a value."""
-    bought = table(spark, sf_dir, "events").where((F.col("event_type") == "purchase") & (F.col("value") > over)).select("user_id", "ts", "event_id")
+def users(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """A user leads to the user of the next purchase of the day."""
+    bought = table(spark, sf_dir, "events").where(F.col("event_type") == "purchase").select("user_id", "ts", "event_id")
     order = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")
     nxt = bought.withColumn("dst", F.lead("user_id").over(order)).where("dst is not null and dst <> user_id")
     pairs = nxt.select(F.col("user_id").alias("src"), "dst").distinct()

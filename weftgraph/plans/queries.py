@@ -94,7 +94,7 @@ def other_ends(spark, sf):
 
 def bfs_levels(spark, sf):
     g = derived.nations(spark, sf, directed=True)
-    return traversal.bfs_levels(g, g.vertices.where("id % 5 = 0")).select("source", "id", "level")
+    return traversal.bfs_levels(g, g.vertices).select("source", "id", "level")
 
 
 def bfs_levels_bipartite(spark, sf):
@@ -125,7 +125,7 @@ def component_sizes(spark, sf):
 
 
 def weak_components_directed(spark, sf):
-    return components.connected_components(derived.users(spark, sf, 100))
+    return components.connected_components(derived.users(spark, sf))
 
 
 def strong_components(spark, sf):
@@ -133,7 +133,7 @@ def strong_components(spark, sf):
 
 
 def strong_components_users(spark, sf):
-    return components.strongly_connected_components(derived.users(spark, sf, 150))
+    return components.strongly_connected_components(derived.users(spark, sf))
 
 
 def topological_levels(spark, sf):
@@ -230,7 +230,7 @@ def mesh_oriented(spark, sf):
 
 def mesh_find_cells(spark, sf):
     m = _mesh(spark, sf)
-    asked = m.points.where("id % 50 = 0").select(F.col("id").alias("query"), F.array("id", F.col("id") + 1).alias("point_ids"))
+    asked = m.points.select(F.col("id").alias("query"), F.array("id", F.col("id") + 1).alias("point_ids"))
     return m.find_cells(asked)
 
 
