@@ -91,8 +91,17 @@ def test_min_cut_limits(spark):
     with pytest.raises(ValueError):
         min_cut(graph(spark, [], n=1), "weight")
     assert min_cut(graph(spark, [], n=3), "weight").value == 0
-    with pytest.raises(ValueError):
-        min_cut(graph(spark, CUTS["K6"][0]), "weight", limit=3)
+
+
+@pytest.mark.parametrize("name, limit", [("loops", 0), ("K6", 0), ("triangle", 1)])
+def test_min_cut_by_contraction(spark, name, limit):
+    edges, value, sides = CUTS[name]
+    cut = min_cut(graph(spark, edges), "weight", limit=limit)
+    assert cut.value == pytest.approx(value)
+    got = {1: [], 2: []}
+    for r in cut.labels.collect():
+        got[r.label].append(r.id)
+    assert sorted(map(sorted, got.values())) == sides
 
 
 NET = [(1, 2, 1), (1, 3, 2), (2, 4, 0.5), (3, 5, 1.5), (4, 6, 0.1), (5, 6, 4)]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from weftgraph.operators import kernels
 from weftgraph.operators.graph import Predicate, PropertyGraph
 from weftgraph.plans.durable import drop_durable, durable
-from weftgraph.plans.local import in_one_task, is_local
+from weftgraph.plans.local import in_one_task, is_local, on_edges
 from weftgraph.plans.ranking import dense_index
 
 
@@ -80,12 +80,27 @@ def strongly_connected_components(graph: PropertyGraph, vertices: Predicate = No
         raise ValueError("strong components need a directed graph")
     part = graph.subgraph(vertices, edges)
     if is_local(part.edges, strategy):
-        found = in_one_task(part.vertices.select("id"), part.edges.select("src", "dst"), kernels.strong_components, "id long, component long")
+        ids = part.vertices.select("id")
+        inner = on_edges(ids, part.edges)
+        found = in_one_task(inner, part.edges.select("src", "dst"), kernels.strong_components, "id long, component long")
+        found = found.unionByName(ids.join(inner, "id", "left_anti").select("id", F.col("id").alias("component")))
     else:
         found = _strong_by_colour(part)
     return graph.vertices.select("id").join(found, "id", "left")
 
 
+def completion_labels(graph: PropertyGraph, components: DataFrame, vertices: Predicate = None, edges: Predicate = None) -> DataFrame:
+    """id, label of every vertex: strong components (rows id, component) numbered from 1 so that an edge between
+    two of them leads from the higher label to the lower; 0 outside the selection."""
+    part = graph.subgraph(vertices, edges)
+    turned = part.edges.select("eid", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    depth = topological_levels(PropertyGraph(part.vertices, turned, True, True), components).join(components.select("id", "component"), "id")
+    placed = durable(depth.select("id", "level", "component"), "depth")
+    labels = dense_index(placed, ["level", "component"], "label")
+    found = placed.join(labels, ["level", "component"]).select("id", "label")
+    return graph.vertices.select("id").join(found, "id", "left").select("id", F.coalesce("label", F.lit(0)).cast("long").alias("label"))
+
+
 def _spread(start: DataFrame, arcs: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """(id, colour): the smallest colour that reaches an id along arcs, from its own colour on."""
     now = durable(start, "colour")
@@ -93,7 +108,9 @@ def _spread(start: DataFrame, arcs: DataFrame, allowed: DataFrame | None = None)
         sent = arcs.join(now, arcs["a"] == now["id"]).select(F.col("b").alias("id"), "colour")
         nxt = durable(now.unionByName(sent).groupBy("id").agg(F.min("colour").alias("colour")), "colour")
         changed = nxt.join(now.withColumnRenamed("colour", "was"), "id").where("colour < was")
-        if changed.isEmpty():
+        ended = changed.isEmpty()
+        drop_durable(now)
+        if ended:
             return nxt
         now = nxt
 
@@ -114,14 +131,19 @@ def _strong_by_colour(part: PropertyGraph) -> DataFrame:
         hit = durable(colour.where("id = colour").select("id"), "scc")
         while True:
             more = durable(hit.unionByName(back.join(hit, back["a"] == hit["id"]).select(F.col("b").alias("id"))).distinct(), "scc")
-            if more.count() == hit.count():
-                break
+            ended = more.count() == hit.count()
+            drop_durable(hit)
             hit = more
+            if ended:
+                break
         found = durable(alone.unionByName(colour.join(hit, "id", "left_semi").select("id", F.col("colour").alias("component"))), "scc")
         done = found if done is None else done.unionByName(found)
         gone = found.select("id")
+        old = rest, arcs, back, alone, hit
         rest = durable(rest.join(gone, "id", "left_anti"), "scc")
         arcs = durable(arcs.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti"), "scc")
+        for t in old:
+            drop_durable(t)
     return done if done is not None else rest.select("id", F.col("id").alias("component"))
 
 
@@ -147,8 +169,11 @@ def topological_levels(graph: PropertyGraph, components: DataFrame | None = None
         if top.isEmpty():
             raise ValueError("a cycle has no topological levels")
         done = top if done is None else done.unionByName(top)
+        old = rest, arcs
         rest = durable(rest.join(top, "component", "left_anti"), "levels")
         arcs = durable(arcs.join(top.select(F.col("component").alias("a")), "a", "left_anti"), "levels")
+        for t in old:
+            drop_durable(t)
     if done is None:
         return graph.vertices.select("id", F.lit(0).cast("long").alias("level"))
     found = group.join(done, "component").select("id", "level")

@@ -16,21 +16,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.graph import Predicate, PropertyGraph, column_check
-from weftgraph.plans.durable import durable
-from weftgraph.plans.local import in_one_task, is_local
+from weftgraph.plans.durable import drop_durable, durable
+from weftgraph.plans.local import in_one_task, is_local, on_edges
 
 REFRESH = 15
+#: Share of the flow up to which its two ends may differ.
+MOST_IMBALANCE = 1e-3
 
 
 @dataclass(frozen=True)
 class Conductance:
-    """``flow`` from high to low; ``conductance`` flow by potential difference; (id, x) of all vertices, null outside
+    """``flow`` from high to low; ``imbalance``: by how much what leaves high and what enters low differ; ``conductance`` flow by potential difference; (id, x) of all vertices, null outside
     the selection or out of reach of a boundary; (eid, flow) of all edges, g * (x_src - x_dst), 0 where not selected."""
 
     flow: float
     conductance: float | None
     potentials: DataFrame
     flows: DataFrame
+    imbalance: float = 0.0
 
 
 def conductance(graph: PropertyGraph, weight: str, boundary: str, x_low: float, x_high: float, vertices: Predicate = None, edges: Predicate = None, rtol_l2: float = 1e-8, rtol_linf: float = 1e-8, rtol_bounds: float = 1e-7, strategy: str = "auto") -> Conductance:
@@ -46,7 +49,9 @@ def conductance(graph: PropertyGraph, weight: str, boundary: str, x_low: float,
     nodes = durable(part.vertices.select("id", fixed.alias("fixed"), F.coalesce(F.col(boundary).cast("int"), F.lit(0)).alias("side")), "nodes")
     net = durable(part.edges.where("src <> dst").select("eid", "src", "dst", F.col(weight).cast("double").alias("g")).where("g > 0"), "net")
     if is_local(net, strategy):
-        found = durable(in_one_task(nodes, net, lambda v, e: _solve_local(v, e, rtol_l2, rtol_linf), "id long, x double"), "x")
+        inner = on_edges(nodes, net)
+        alone = nodes.join(inner, "id", "left_anti").select("id", F.col("fixed").alias("x"))
+        found = durable(in_one_task(inner, net, lambda v, e: _solve_local(v, e, rtol_l2, rtol_linf), "id long, x double").unionByName(alone), "x")
     else:
         found = durable(_solve_rounds(nodes, net, rtol_l2, rtol_linf), "x")
     lo, hi = min(x_low, x_high), max(x_low, x_high)
@@ -57,10 +62,12 @@ def conductance(graph: PropertyGraph, weight: str, boundary: str, x_low: float,
     carried = net.join(at("src", "xa"), "src").join(at("dst", "xb"), "dst").select("eid", "src", "dst", (F.col("g") * (F.col("xa") - F.col("xb"))).alias("flow"))
     out = carried.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("flow").alias("f")), F.struct(F.col("dst").alias("id"), (-F.col("flow")).alias("f")))).alias("p")).select("p.*")
     sums = {r.side: r.f or 0.0 for r in out.join(nodes, "id").where("side in (1, 2)").groupBy("side").agg(F.sum("f").alias("f")).collect()}
-    flow = (abs(sums.get(1, 0.0)) + abs(sums.get(2, 0.0))) / 2
+    flow, imbalance = (abs(sums.get(1, 0.0)) + abs(sums.get(2, 0.0))) / 2, abs(abs(sums.get(1, 0.0)) - abs(sums.get(2, 0.0)))
+    if imbalance > MOST_IMBALANCE * flow:
+        raise ArithmeticError(f"the flow is not balanced: {flow} with a difference of {imbalance} between its ends; ask for smaller tolerances")
     potentials = graph.vertices.select("id").join(found, "id", "left")
     flows = graph.edges.select("eid").join(carried.select("eid", "flow"), "eid", "left").select("eid", F.coalesce("flow", F.lit(0.0)).alias("flow"))
-    return Conductance(flow, flow / abs(x_high - x_low) if x_high != x_low else None, potentials, flows)
+    return Conductance(flow, flow / abs(x_high - x_low) if x_high != x_low else None, potentials, flows, imbalance)
 
 
 def _solve_local(v: pd.DataFrame, e: pd.DataFrame, l2: float, linf: float) -> pd.DataFrame:
@@ -90,7 +97,7 @@ def _solve_local(v: pd.DataFrame, e: pd.DataFrame, l2: float, linf: float) -> pd
         new = float(r @ r)
         p, rr = r + new / rr * p, new
     else:
-        if len(e) and np.sqrt(rr) > goal2:
+        if np.sqrt(rr) > goal2 or np.abs(r).max(initial=0.0) > goalmax:
             raise ArithmeticError("no convergence")
     # what no boundary reaches has no potential
     seen = ~inner
@@ -119,9 +126,12 @@ def _solve_rounds(nodes: DataFrame, net: DataFrame, l2: float, linf: float) -> D
     s = state.agg(F.sum(F.col("r") * F.col("r")), F.max(F.abs("b")), F.count("*")).first()
     rr, n = s[0] or 0.0, s[2]
     goal2, goalmax, top = l2 * rr**0.5, linf * (s[1] or 0.0), s[1] or 0.0
-    for k in range(max(100, 2 * n)):
+    held = state
+    for k in range(max(100, 2 * n) + 1):
         if rr**0.5 <= goal2 and top <= goalmax:
             break
+        if k == max(100, 2 * n):
+            raise ArithmeticError("no convergence")
         step = durable(state.join(times(state, "p"), "id"), "cg")
         curve = step.agg(F.sum(F.col("p") * F.col("ax"))).first()[0]
         if curve <= 0:
@@ -130,8 +140,11 @@ def _solve_rounds(nodes: DataFrame, net: DataFrame, l2: float, linf: float) -> D
         moved = step.withColumn("x", F.col("x") + alpha * F.col("p")).withColumn("r", F.col("r") - alpha * F.col("ax")).drop("ax")
         if k % REFRESH == REFRESH - 1:
             moved = durable(moved, "cg")
-            moved = moved.join(times(moved, "x"), "id").withColumn("r", F.col("b") - F.col("ax")).drop("ax")
+            moved = durable(moved.join(times(moved, "x"), "id").withColumn("r", F.col("b") - F.col("ax")).drop("ax"), "cg")
         moved = durable(moved, "cg")
+        drop_durable(held)
+        drop_durable(step)
+        held = moved
         new, top = moved.agg(F.sum(F.col("r") * F.col("r")), F.max(F.abs("r"))).first()
         state = moved.withColumn("p", F.col("r") + (new / rr) * F.col("p"))
         rr = new

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.plans.ranking import dense_index
+from weftgraph.plans.ranking import dense_index, numbered
 
 Predicate = Column | str | None
 
@@ -27,6 +27,8 @@ class PropertyGraph:
     vertices: DataFrame
     edges: DataFrame
     directed: bool = False
+    #: Whether every edge is known to end at vertices of the graph.
+    whole: bool = False
 
     # construction
 
@@ -39,18 +41,20 @@ class PropertyGraph:
     @staticmethod
     def from_edges(edges: DataFrame, directed: bool = False, vertices: DataFrame | None = None, fill_ids: bool = False) -> PropertyGraph:
         """From rows (src, dst, ...). Without ``vertices`` the ends are the vertices; with ``fill_ids`` all
-        numbers from 1 to the largest end are. Without ``eid`` edges are numbered by (src, dst)."""
+        numbers from 1 to the largest end are. Without ``eid`` edges are numbered in order of (src, dst),
+        parallel ones too; their order among each other is open."""
         edges = edges.withColumns({c: F.col(c).cast("long") for c in ("src", "dst")})
         if "eid" not in edges.columns:
-            pairs = dense_index(edges.select("src", "dst"), ["src", "dst"], "eid")
-            edges = edges.join(pairs, ["src", "dst"])
+            edges = numbered(edges, ["src", "dst"], "eid")
+        own = vertices is None
         if vertices is None and fill_ids:
             top = edges.agg(F.max(F.greatest("src", "dst"))).first()[0] or 0
             vertices = edges.sparkSession.range(1, top + 1)
         elif vertices is None:
             vertices = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
         rest = [c for c in edges.columns if c not in ("eid", "src", "dst")]
-        return PropertyGraph(vertices, edges.select("eid", "src", "dst", *rest), directed)
+        edges = edges.select("eid", "src", "dst", *rest)
+        return PropertyGraph(vertices, edges.where("src is not null and dst is not null") if own else edges, directed, own and not fill_ids)
 
     # views
 
@@ -98,14 +102,13 @@ class PropertyGraph:
 
     def subgraph(self, vertices: Predicate = None, edges: Predicate = None) -> PropertyGraph:
         """Selected vertices, and selected edges both of whose ends are selected."""
-        if vertices is None and edges is None:
-            keep, kept = self.vertices, self.edges
-        else:
-            keep, kept = _chosen(self.vertices, vertices), _chosen(self.edges, edges)
+        keep, kept = _chosen(self.vertices, vertices), _chosen(self.edges, edges)
+        if self.whole and vertices is None:
+            return PropertyGraph(keep, kept, self.directed, True)
         ids = keep.select("id")
         for end in ("src", "dst"):
             kept = kept.join(ids.withColumnRenamed("id", "__end"), kept[end] == F.col("__end"), "left_semi")
-        return PropertyGraph(keep, kept, self.directed)
+        return PropertyGraph(keep, kept, self.directed, True)
 
     def copy(self, vertices: Predicate = None, edges: Predicate = None) -> tuple[PropertyGraph, DataFrame, DataFrame]:
         """The subgraph with ids renumbered from 1 in order, and the maps (old, new) of vertices and edges."""
@@ -123,8 +126,32 @@ class PropertyGraph:
     def add_vertices(self, rows: DataFrame) -> PropertyGraph:
         return PropertyGraph(self.vertices.unionByName(rows, allowMissingColumns=True), self.edges, self.directed)
 
-    def add_edges(self, rows: DataFrame) -> PropertyGraph:
-        return PropertyGraph(self.vertices, self.edges.unionByName(rows, allowMissingColumns=True), self.directed)
+    def add_edges(self, rows: DataFrame, check: bool = False) -> PropertyGraph:
+        """With more edges; with ``check``, a ValueError if one of them ends at no vertex, is an undirected loop or
+        runs beside another edge."""
+        grown = PropertyGraph(self.vertices, self.edges.unionByName(rows, allowMissingColumns=True), self.directed)
+        if check:
+            new = PropertyGraph(self.vertices, rows, self.directed)
+            ends = lambda e: e.select(*(f("src", "dst").alias(n) for f, n in ((F.least, "a"), (F.greatest, "b"))))
+            beside = grown.duplicate_edges()
+            if not self.directed:
+                _refuse("an undirected edge is a loop", rows.where("src = dst"))
+                beside = beside.join(ends(rows), ["a", "b"], "left_semi")
+            else:
+                beside = beside.join(rows.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_semi")
+            _refuse("an edge ends at no vertex", new.orphaned_edges())
+            _refuse("two edges are parallel", beside)
+        return grown
+
+    def index_of(self, ids: DataFrame, kind: str = "vertex") -> DataFrame:
+        """``ids`` (rows id) with ``found``: whether the graph has such a vertex, or edge if ``kind`` is "edge"."""
+        own = self.vertices.select("id") if kind == "vertex" else self.edges.select(F.col("eid").alias("id"))
+        return ids.join(own.withColumn("found", F.lit(True)), "id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+    @property
+    def points_per_cell(self) -> int:
+        """Ends of an edge, which takes the place of a mesh's cell."""
+        return 2
 
     def remove_vertices(self, ids: DataFrame) -> PropertyGraph:
         """Without these vertices and their edges; if directed, only outgoing ones go and incoming ones dangle."""
@@ -167,14 +194,18 @@ class PropertyGraph:
         if not self.directed:
             faults["an undirected edge is a loop"] = self.edges.where("src = dst")
         for what, rows in faults.items():
-            if not rows.isEmpty():
-                raise ValueError(what)
+            _refuse(what, rows)
 
     def describe(self) -> DataFrame:
         """Every vertex with its properties, neighbours and outgoing edges."""
         return self.vertices.join(self.neighbours(), "id", "left").orderBy("id")
 
 
+def _refuse(what: str, rows: DataFrame) -> None:
+    if not rows.isEmpty():
+        raise ValueError(what)
+
+
 def column_check(df: DataFrame, names: Sequence[str]) -> None:
     missing = [c for c in names if c not in df.columns]
     if missing:

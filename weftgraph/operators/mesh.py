@@ -59,6 +59,10 @@ class Mesh:
         """id (of a point), cells: sorted ids of the cells that have it."""
         return self.cells.select(F.explode("point_ids").alias("id"), F.col("id").alias("cell")).groupBy("id").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
 
+    def describe(self) -> DataFrame:
+        """Every cell with its points, properties and neighbours."""
+        return self.cells.join(self.neighbours(), "id", "left").orderBy("id")
+
     def find_cells(self, queries: DataFrame) -> DataFrame:
         """query, cell: cells that have all points of a query, from rows (query, point_ids); none for no points."""
         owned = self.cells.select(F.explode(F.array_distinct("point_ids")).alias("point"), F.col("id").alias("cell"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.graph import Predicate, PropertyGraph, column_check
-from weftgraph.plans.durable import durable
+from weftgraph.plans.durable import drop_durable, durable
 
 
 def bfs_levels(graph: PropertyGraph, sources: DataFrame, vertices: Predicate = None, edges: Predicate = None, max_level: int | None = None) -> DataFrame:
@@ -26,12 +26,13 @@ def bfs_levels(graph: PropertyGraph, sources: DataFrame, vertices: Predicate = N
             break
         seen.append(front)
         if len(seen) > 16:  # keep the plan short on deep graphs
-            seen = [durable(reduce(DataFrame.unionByName, seen), "front")]
+            seen = [durable(reduce(DataFrame.unionByName, seen), "front")]  # the last front is still read
     return reduce(DataFrame.unionByName, seen)
 
 
-def shortest_paths(graph: PropertyGraph, cost: str | None, sources: DataFrame, vertices: Predicate = None, edges: Predicate = None) -> DataFrame:
-    """source, id, distance, hops, predecessor for what each source reaches.
+def shortest_paths(graph: PropertyGraph, cost: str | None, sources: DataFrame, vertices: Predicate = None, edges: Predicate = None, target: int | None = None) -> DataFrame:
+    """source, id, distance, hops, predecessor for what each source reaches; with ``target``, of what lies no farther
+    than the target from the source, and nothing beyond is looked at once it is reached.
 
     Costs (column ``cost``; 1 each if None) must not be negative or null. Of the
     shortest paths the one with the fewest edges counts, of those the
@@ -46,16 +47,26 @@ def shortest_paths(graph: PropertyGraph, cost: str | None, sources: DataFrame, v
     weight = F.lit(1.0) if cost is None else F.col(cost).cast("double")
     arcs = durable(part.arcs().select(F.col("src").alias("a"), F.col("dst").alias("b"), weight.alias("c")), "arcs")
     state = durable(sources.select("id").distinct().join(part.vertices.select("id"), "id", "left_semi").select(F.col("id").alias("source"), "id", F.struct(F.lit(0.0).alias("distance"), F.lit(0).alias("hops")).alias("best")), "paths")
-    front = state
+    front, held = state, None
+
+    def reached(state: DataFrame) -> DataFrame:
+        return state.where(F.col("id") == target).select("source", F.col("best.distance").alias("limit"))
+
     while True:
         way = F.struct((F.col("best.distance") + F.col("c")).alias("distance"), (F.col("best.hops") + 1).alias("hops"))
         tried = front.join(arcs, front["id"] == arcs["a"]).select("source", F.col("b").alias("id"), way.alias("best"))
         merged = state.withColumn("new", F.lit(False)).unionByName(tried.withColumn("new", F.lit(True)))
         # the old state wins ties: false sorts before true
         nxt = durable(merged.groupBy("source", "id").agg(F.min(F.struct("best", "new")).alias("m")).select("source", "id", "m.best", "m.new"), "paths")
-        front, state = nxt.where("new").drop("new"), nxt.drop("new")
+        if held is not None:
+            drop_durable(held)
+        front, state, held = nxt.where("new").drop("new"), nxt.drop("new"), nxt
+        if target is not None:
+            front = front.join(reached(state), "source", "left").where("best.distance <= coalesce(limit, best.distance)").drop("limit")
         if front.isEmpty():
             break
+    if target is not None:
+        state = state.join(reached(state), "source", "left").where("best.distance <= coalesce(limit, best.distance)")
     flat = state.select("source", "id", "best.distance", "best.hops")
     left = flat.select("source", F.col("id").alias("a"), F.col("distance").alias("da"), F.col("hops").alias("ha"))
     via = flat.join(arcs, flat["id"] == arcs["b"]).join(left, ["source", "a"]).where("da + c = distance and ha + 1 = hops")
@@ -63,10 +74,11 @@ def shortest_paths(graph: PropertyGraph, cost: str | None, sources: DataFrame, v
     return flat.join(pred, ["source", "id"], "left")
 
 
-def distances(graph: PropertyGraph, cost: str | None, start: int, vertices: Predicate = None, edges: Predicate = None, unreached: float | None = None) -> DataFrame:
-    """id, distance from ``start`` for every vertex; ``unreached`` (null) where there is no path."""
+def distances(graph: PropertyGraph, cost: str | None, start: int, vertices: Predicate = None, edges: Predicate = None, unreached: float | None = None, target: int | None = None) -> DataFrame:
+    """id, distance from ``start`` for every vertex; ``unreached`` (null) where there is no path, or none as short as
+    the one to ``target``."""
     sources = graph.vertices.where(F.col("id") == start)
-    found = shortest_paths(graph, cost, sources, vertices, edges).select("id", "distance")
+    found = shortest_paths(graph, cost, sources, vertices, edges, target).select("id", "distance")
     return graph.vertices.select("id").join(found, "id", "left").select("id", F.coalesce("distance", F.lit(unreached).cast("double")).alias("distance"))
 
 

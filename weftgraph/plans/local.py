@@ -2,7 +2,9 @@
 
 Sequential algorithms run as a kernel over a whole graph when that is proven
 small: the edges are counted first, and only up to ``LOCAL_EDGES`` of them go
-to a task. The kernel runs on an executor, not on the driver.
+to a task. Vertices go with them only if they are on an edge, at most two for
+each; callers add the others to the result. The kernel runs on an executor, not
+on the driver.
 """
 
 from __future__ import annotations
@@ -27,6 +29,11 @@ def is_local(edges: DataFrame, strategy: str, limit: int = LOCAL_EDGES) -> bool:
     return small
 
 
+def on_edges(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """The ``vertices`` (id, ...) that are an end of the ``edges`` (src, dst)."""
+    return vertices.join(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id", "left_semi")
+
+
 def in_one_task(vertices: DataFrame, edges: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     one = F.lit(1).alias("__all")
     keyed = lambda df: df.select("*", one).groupBy("__all")

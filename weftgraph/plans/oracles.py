@@ -88,7 +88,7 @@ def oracle_sql() -> dict[str, str]:
     with_ = lambda *ctes, recursive=False: f"with {'recursive ' if recursive else ''}" + ",\n ".join(ctes) + "\n"
     rec = lambda *ctes: with_(*ctes, recursive=True)
     psv = "pv as (select src as id from ps union select dst from ps)"
-    return {
+    out = {
         "g_vertices": with_(_PS) + "select src as id from ps union select dst from ps",
         "g_edges": with_(_PS) + "select src, dst from ps",
         "degrees": with_(_PS) + "select id, count(*) as out_degree, count(*) as in_degree, count(*) as degree from (select src as id from ps union all select dst from ps) group by id",
@@ -137,3 +137,8 @@ def oracle_sql() -> dict[str, str]:
         "string_functions": "select cast(n_nationkey as bigint) as id, cast(len(string_split(n_name, ' ')) as int) as parts, array_to_string(list_filter(string_split(n_name, ' '), lambda x: trim(x) <> ''), '|') as words, cast(n_nationkey as int) as number from nation",
         "number_functions": "select l_orderkey, array_to_string(list_sort(list_distinct(list(l_suppkey))), ',') as suppliers, abs(avg(l_quantity) - max(l_quantity)) < 0.1 * greatest(1, abs(avg(l_quantity)), abs(max(l_quantity))) as alike from lineitem group by l_orderkey",
     }
+    rounds = {"maxflow_rounds": "maxflow_value", "mincut_rounds": "mincut_value", "strong_components_rounds": "strong_components", "betweenness_rounds": "betweenness_edges", "conductance_rounds": "conductance_flow"}
+    out |= {name: out[same] for name, same in rounds.items()}
+    out["vtu_round_trip"] = with_(_ND) + "select row_number() over (order by na.eid) as eid, na.src + 1 as src, na.dst + 1 as dst, na.weight, na.src as place, cast(nv.region as bigint) as region from na join nv on nv.id = na.src"
+    out["text_round_trip"] = "select n_nationkey + 1 as line, n_name as value from nation"
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from weftgraph.operators.graph import PropertyGraph
 from weftgraph.operators.mesh import Mesh
 from weftgraph.plans import derived
 from weftgraph.plans.derived import SUPPLIER_BASE, table
+from weftgraph.plans.durable import shared_dir
+from weftgraph.sources import text, vtu
 
 
 def g_vertices(spark, sf):
@@ -190,16 +193,54 @@ def mincut_value(spark, sf):
     return _value(spark, flow.min_cut(derived.nations(spark, sf, directed=False), "weight").value)
 
 
-def _network(spark: SparkSession, sf: str) -> conductance.Conductance:
+def maxflow_rounds(spark, sf):
+    return _value(spark, flow.max_flow(derived.nations(spark, sf, directed=True), 2, 11, "weight", strategy="bsp").value)
+
+
+def mincut_rounds(spark, sf):
+    return _value(spark, flow.min_cut(derived.nations(spark, sf, directed=False), "weight", limit=0).value)
+
+
+def strong_components_rounds(spark, sf):
+    return components.strongly_connected_components(derived.nations(spark, sf, directed=True), strategy="bsp")
+
+
+def betweenness_rounds(spark, sf):
+    return centrality.betweenness(derived.nations(spark, sf, directed=True), strategy="bsp")[1].select("eid", F.round("betweenness", 6).alias("betweenness"))
+
+
+def vtu_round_trip(spark, sf):
+    """The nation graph written to a file and read back: ids are places from 1."""
+    fields = [vtu.FieldSpec("region", ("region",), "Int32", "point"), vtu.FieldSpec("weight", ("weight",), "Float64", "cell")]
+    g = derived.nations(spark, sf, directed=True)
+    path = f"{shared_dir(spark)}/nations-{uuid.uuid4().hex}.vtu"
+    vtu.write_graph(PropertyGraph(g.vertices.select("*", *(F.col("id").cast("double").alias(c) for c in "xyz")), g.edges, True), path, fields=fields)
+    back = vtu.read_graph(spark, path, fields, directed=True)
+    ends = back.vertices.select(F.col("id").alias("src"), F.col("x").cast("long").alias("place"), "region")
+    return back.edges.join(ends, "src").select("eid", "src", "dst", "weight", "place", F.col("region").cast("long").alias("region"))
+
+
+def text_round_trip(spark, sf):
+    """Names of nations written a line each and read back."""
+    path = f"{shared_dir(spark)}/names-{uuid.uuid4().hex}"
+    table(spark, sf, "nation").orderBy("n_nationkey").coalesce(1).select("n_name").write.text(path)
+    return text.read_strings(spark, path).select(F.col("line").cast("long").alias("line"), "value")
+
+
+def _network(spark: SparkSession, sf: str, strategy: str = "auto") -> conductance.Conductance:
     g = derived.nations(spark, sf, directed=False)
     g = PropertyGraph(g.vertices.withColumn("bc", F.when(F.col("id") == 0, 2).when(F.col("id") == 24, 1).otherwise(0)), g.edges)
-    return conductance.conductance(g, "weight", "bc", 0.0, 1.0)
+    return conductance.conductance(g, "weight", "bc", 0.0, 1.0, strategy=strategy)
 
 
 def conductance_flow(spark, sf):
     return spark.createDataFrame([(round(_network(spark, sf).flow, 2),)], "value double")
 
 
+def conductance_rounds(spark, sf):
+    return spark.createDataFrame([(round(_network(spark, sf, "bsp").flow, 2),)], "value double")
+
+
 def conductance_potentials(spark, sf):
     return _network(spark, sf).potentials.select("id", F.round("x", 5).alias("x"))
 
@@ -239,8 +280,8 @@ def mesh_depending_cells(spark, sf):
 
 
 def string_functions(spark, sf):
-    text = F.col("n_name")
-    return table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.size(split_all(text, " ")).alias("parts"), F.array_join(split_nonempty(text, " "), "|").alias("words"), to_int(F.col("n_nationkey").cast("string")).alias("number"))
+    name = F.col("n_name")
+    return table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.size(split_all(name, " ")).alias("parts"), F.array_join(split_nonempty(name, " "), "|").alias("words"), to_int(F.col("n_nationkey").cast("string")).alias("number"))
 
 
 def number_functions(spark, sf):

@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 from weftgraph.plans.durable import durable
 
 
-def dense_index(values: DataFrame, cols: list[str], name: str, start: int = 1) -> DataFrame:
-    """Distinct ``cols`` numbered from ``start`` in their order: a range sort, then a prefix sum over partitions."""
+def numbered(rows: DataFrame, by: list[str], name: str, start: int = 1) -> DataFrame:
+    """``rows`` numbered from ``start`` in the order of ``by``: a range sort, then a prefix sum over partitions."""
     at = F.monotonically_increasing_id()
-    rows = durable(values.select(*cols).distinct().repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("__at", at), "rank")
+    placed = durable(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", at), "rank")
     part = F.shiftright("__at", 33)
-    sizes = sorted(rows.groupBy(part.alias("p")).agg(F.count("*")).collect())
+    sizes = sorted(placed.groupBy(part.alias("p")).agg(F.count("*")).collect())
     first = [*accumulate((n for _, n in sizes), initial=start)]
-    bases = values.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, first)], "__p long, __base long")
-    placed = rows.withColumn("__p", part).join(F.broadcast(bases), "__p")
-    return placed.select(*cols, (F.col("__base") + F.col("__at").bitwiseAND((1 << 33) - 1)).alias(name))
+    bases = rows.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, first)], "__p long, __base long")
+    found = placed.withColumn("__p", part).join(F.broadcast(bases), "__p")
+    return found.select(*rows.columns, (F.col("__base") + F.col("__at").bitwiseAND((1 << 33) - 1)).alias(name))
+
+
+def dense_index(values: DataFrame, cols: list[str], name: str, start: int = 1) -> DataFrame:
+    """Distinct ``cols`` numbered from ``start`` in their order."""
+    return numbered(values.select(*cols).distinct(), cols, name, start)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.strings import to_long
@@ -18,6 +18,22 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(F.split(body, r"\r?\n")).alias("line", "value")).withColumn("line", F.col("line") + 1)
 
 
+def count_lines(spark: SparkSession, path: str) -> int:
+    """Lines of a file, empty ones too."""
+    return spark.read.text(path).count()
+
+
+def count_lines_block(spark: SparkSession, path: str) -> DataFrame:
+    """block (from 1), lines: how many lines each block has; every blank line ends a block, so blocks can be empty."""
+    rows = _lines(spark, path)
+    blank = F.trim("value") == ""
+    # one file's lines, which one task reads anyway
+    placed = rows.select(blank.alias("blank"), F.sum(blank.cast("long")).over(Window.orderBy("line")).alias("before"))
+    found = placed.groupBy((F.col("before") + 1).alias("block")).agg(F.sum((~F.col("blank")).cast("long")).alias("lines"))
+    first = rows.sparkSession.createDataFrame([(1, 0)], "block long, lines long")
+    return found.unionByName(first).groupBy("block").agg(F.sum("lines").alias("lines"))
+
+
 def read_strings(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path)
 

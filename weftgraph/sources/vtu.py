@@ -170,9 +170,15 @@ def read_tables(spark: SparkSession, path: str, fields: Sequence[FieldSpec] = ()
     return reader("point"), reader("cell")
 
 
+def _one_file(points: DataFrame, path: str) -> None:
+    if points.select("file").distinct().limit(2).count() > 1:
+        raise ValueError(f"several files at {path}: their ids would collide; use read_tables")
+
+
 def read_graph(spark: SparkSession, path: str, fields: Sequence[FieldSpec] = (), directed: bool = False) -> PropertyGraph:
     """A file of line cells. The format does not keep the direction flag."""
     points, cells = read_tables(spark, path, fields)
+    _one_file(points, path)
     rest = [c for f in fields if f.on == "cell" for c in f.columns]
     edges = cells.select(F.col("id").alias("eid"), F.get("point_ids", F.lit(0)).alias("src"), F.get("point_ids", F.lit(1)).alias("dst"), *rest)
     return PropertyGraph(points.drop("file"), edges, directed)
@@ -180,6 +186,7 @@ def read_graph(spark: SparkSession, path: str, fields: Sequence[FieldSpec] = (),
 
 def read_mesh(spark: SparkSession, path: str, fields: Sequence[FieldSpec] = ()) -> Mesh:
     points, cells = read_tables(spark, path, fields)
+    _one_file(points, path)
     first = cells.select(F.size("point_ids").alias("n")).first()
     return Mesh(points.drop("file"), cells.drop("file"), is_3d=first is not None and first.n == 4)
 
