@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -99,6 +100,25 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_crowded_fingerprints_in_parts(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(5))
+    base, texts = [word() for _ in range(60)], []
+    for i in range(40):
+        text = base.copy()
+        for at in rng.sample(range(60), rng.choice([0, 1, 1, 2])):
+            text[at] = word()
+        texts.append(" ".join(text))
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    sets = [near_dedup.shingles(t) for t in texts]
+    # what meets in a fingerprint is compared; texts that meet in none are not near
+    near = np.array([[near_dedup.alike(a, b, 0.8) for b in sets] for a in sets])
+    want = components(near)
+    for most in (1 << 20, 2000):
+        got = {r.doc_id: r.component_id for r in near_dedup.near_documents(docs, most_bytes=most).collect()}
+        assert [got[i] for i in range(40)] == want.tolist()
+
+
 def test_near_stage_of_the_pipeline(spark):
     import corpus_pipeline
 
@@ -189,6 +209,24 @@ def test_line_dedup_partner_that_meets_one_line(spark):
     assert {r.doc_id: r.text for r in got.collect()} == plainly(docs, 2, 24)
 
 
+def test_line_dedup_of_crowded_keys(spark):
+    # lines that share a long beginning: one key holds all of them, and most are not near each other
+    rng = random.Random(11)
+    docs = {i: "all of these lines begin in the very same way " + changed(rng, "".join(rng.choice("etan") for _ in range(7)) * 2, rng.choice([0, 1])) for i in range(120)}
+    docs |= {200 + i: changed(rng, docs[rng.randrange(120)] + "😀é", rng.choice([0, 1, 2, 3])) for i in range(60)}
+    got = line_dedup.dedup_lines(spark.createDataFrame([*docs.items()], "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == plainly(docs, 2, 24)
+
+
+def test_line_dedup_columns_and_ids(spark):
+    line = "a line that is long enough to count"
+    df = spark.createDataFrame([(1, line, "x", [7]), (2, line, "y", None)], "doc_id int, text string, dropped_lines string, `odd name` array<int>")
+    got = line_dedup.dedup_lines(df).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.text, r.dropped_lines, r["odd name"]) for r in got] == [(1, line, [], [7]), (2, "", [0], None)]
+    with pytest.raises(TypeError):
+        line_dedup.dedup_lines(df.select(F.col("doc_id").cast("string"), "text"))
+
+
 def test_line_dedup_edges(spark):
     line = "a line that is long enough to count"
     rows = [(2, line), (1, f"{line}\nshort\n{line}"), (3, None), (4, ""), (None, line), (5, line + "x" * 9000), (5, line + "x" * 9000)]

@@ -1,11 +1,13 @@
 """Chat formatting, media streams, URL filters, the pipeline."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.llm import chat_format, media, url_filter
+from weftgraph.llm.media import PACKET
 
 
 def test_fold_of_events(spark):
@@ -112,3 +114,51 @@ def test_pipeline_stages(spark, tmp_path):
     ids = {r.doc_id for r in docs.collect()}
     assert not ids & set(range(200, 212)) and set(range(30)) <= ids
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids
+
+
+def test_streamed_logs_fold_back(spark):
+    turns = [(1, i, role, text) for i, (role, text) in enumerate([("user", "x" * 5000), (None, None), ("assistant", ""), ("assistant", "é😀" * 99), ("user", "a"), ("assistant", "end")])]
+    log = chat_format.stream_of(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds["regenerate"] == 6 and kinds["edit"] == 2 and kinds["delta"] > 20
+    assert [(r.role, r.text) for r in chat_format.fold(log).orderBy("message").collect()] == [(a or "", b or "") for _, _, a, b in turns]
+
+
+def test_damaged_streams_are_read():
+    rng = random.Random(9)
+    for _ in range(2000):
+        raw = bytearray(media.mux(rng.randbytes(rng.choice([0, 100, 5000]))))
+        for _ in range(rng.randint(1, 5)):
+            at = PACKET * rng.randrange(len(raw) // PACKET)
+            if rng.random() < 0.2 and len(raw) > PACKET:
+                del raw[at : at + PACKET]
+            else:
+                raw[at + rng.choice([1, 2, 3, 4, 5, 6, rng.randrange(PACKET)])] = rng.randrange(256)
+        media.demux(bytes(raw))
+    payload = rng.randbytes(9000)
+    packets = [media.mux(payload)[i : i + PACKET] for i in range(0, len(media.mux(payload)), PACKET)]
+    twice = b"".join(p + p if p[1] & 0x1F == media.ES_PID >> 8 and p[2] == media.ES_PID & 255 else p for p in packets)
+    got = media.demux(twice)
+    assert got["payload"] == payload and not got["problems"]
+    own = [i for i, p in enumerate(packets) if p[2] == media.ES_PID & 255]
+    assert media.demux(b"".join(p for i, p in enumerate(packets) if i != own[3]))["problems"]
+
+
+def test_media_replaces_columns_of_its_names(spark):
+    rows = spark.createDataFrame([(1, bytearray(b"x" * 192), "old", "kept", "old")], "doc_id long, payload binary, media string, `odd name` string, pts string")
+    got = media.read(media.store(rows)).collect()[0]
+    assert got["odd name"] == "kept" and got.payload_bytes == 192 and got.pts == [0]
+
+
+def test_sites_of_hosts(spark):
+    hosts = {"a.example.co.uk": ("co.uk", "example.co.uk"), "u:p@www.a.com:80": ("com", "a.com"), "1.2.3.4:8080": ("", "1.2.3.4"), "[::1]:80": ("", "[::1]"), "com.": ("com", "com"), "": ("", "")}
+    site = url_filter.site_of(F.col("h"))
+    got = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", url_filter.suffix_of(site).alias("s"), url_filter.domain_of(site).alias("d")).collect()
+    assert {r.h: (r.s, r.d) for r in got} == hosts
+    three = url_filter.domain_of(F.lit("www.x.city.kobe.jp"), ("kobe.jp", "city.kobe.jp"))
+    assert spark.range(1).select(three).first()[0] == "x.city.kobe.jp"
+
+
+def test_suffix_files(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("// note\ncom\nco.uk\n*.ck\n!www.ck\n\ncity.kobe.jp\n")
+    assert url_filter.read_suffixes(spark, str(tmp_path / "list.txt")) == ("city.kobe.jp", "co.uk")

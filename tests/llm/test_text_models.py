@@ -1,6 +1,7 @@
 """SentencePiece matching, byte-level ids and packing, quality scores."""
 
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -34,11 +35,30 @@ def test_pieces_equal_the_library():
     assert own.decode(ids, ends) == lib.decode(want)
 
 
+def test_long_words_equal_the_library():
+    path, rng = P.path("piece_bpe_32k.model"), random.Random(2)
+    own, lib = pieces.Pieces(path, index_chars=700), sentencepiece.SentencePieceProcessor(model_file=path)
+    word = lambda n: "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+    texts = [" ".join([word(n), word(3), "ab" * n, "é漢😀the" * (n // 6)]) for n in (62, 63, 64, 65, 66, 300, 3000)]
+    ids, ends = own.encode(texts)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == lib.encode(texts)
+
+
+def test_a_word_of_a_million_letters():
+    own, rng, took = pieces.Pieces(P.path("piece_bpe_32k.model")), random.Random(3), []
+    for n in (125_000, 1_000_000):
+        text, begin = "".join(rng.choices("etaoinshrdlucm", k=n)), time.process_time()
+        ids, _ = own.encode([text])
+        took.append(time.process_time() - begin)
+        assert "".join(own.decode(ids, np.array([len(ids)]))) == text
+    assert took[1] < 25 * took[0]  # a quadratic cost would be 64 times as high
+
+
 def test_byte_ids_equal_the_library():
     v = byte_vocabulary()
     own, lib = Ids(v.tokenizer_path, v.ranks_path, v.pattern), Tokenizer.from_file(v.tokenizer_path)
-    lib.encode_special_tokens = True
-    texts = ODD + fuzz()
+    texts = [*ODD, "x<|endoftext|>y", "<|endoftext|>"] + fuzz()
+    assert lib.encode("x<|endoftext|>y", add_special_tokens=False).ids == [87, 50256, 88]
     ids, ends = own.encode(texts)
     assert [x.tolist() for x in np.split(ids, ends[:-1])] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
 
