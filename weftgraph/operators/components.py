@@ -14,20 +14,23 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import kernels
 from weftgraph.operators.graph import Predicate, PropertyGraph
-from weftgraph.plans.durable import drop_durable, durable
+from weftgraph.plans.durable import Scratch, drop_durable, durable
 from weftgraph.plans.local import in_one_task, is_local, on_edges
 from weftgraph.plans.ranking import dense_index
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One star round over links (a, b), a > b, without repetitions."""
+def _star(links: DataFrame, large: bool, hold: Scratch) -> DataFrame:
+    """One star round over links (a, b), a > b; the links of the large one may repeat, and are no more than before.
+
+    The smallest neighbours are written before they are joined: a join of two
+    tables is dealt anew where a hub crowds a task, one with a sum is not.
+    """
     if large:
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        joined = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        low = links.groupBy("a").agg(F.min("b").alias("m"))
-        joined = links.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
+        low = hold(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
+        return links.select(F.col("b").alias("a"), F.col("a").alias("b")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    low = hold(links.groupBy("a").agg(F.min("b").alias("m")), "low")
+    joined = links.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
     return joined.where("a > b").distinct()
 
 
@@ -41,7 +44,8 @@ def min_reachable(links: DataFrame, src: str = "src", dst: str = "dst", max_roun
     now = durable(ends.where("a > b").distinct(), "links")
     mark = None
     for _ in range(max_rounds):
-        nxt = durable(_star(_star(now, True), False), "links")
+        with Scratch() as hold:
+            nxt = durable(_star(hold(_star(now, True, hold), "links"), False, hold), "links")
         seen = _mark(nxt)
         if seen == mark:
             break
