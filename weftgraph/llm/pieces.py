@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -115,9 +116,15 @@ def relax_by_heap(first: int, size: int, spans: np.ndarray, ranks: np.ndarray) -
     return first + left, length[left]
 
 
+@lru_cache(maxsize=1)
+def _model(path: str) -> Model:
+    """The vocabulary, once in a worker however many tasks that serves."""
+    return Model(path)
+
+
 class Pieces:
-    def __init__(self, path: str, most_words: int = 1 << 20, index_chars: int = 1 << 18):
-        self.model, self.index_chars = Model(path), index_chars
+    def __init__(self, path: str, most_words: int = 1 << 20, index_chars: int = 1 << 17):
+        self.model, self.index_chars = _model(path), index_chars
         self.lexicon = Lexicon(self._encode_words, np.int32, most_words)
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -271,6 +278,21 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     return thin.mapInArrow(run, f"doc_id {thin.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
+def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, text: ``encode``, and ``decode`` of its ids, in one worker, which holds one batch's ids at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Pieces(model_path)
+        for b in slices(batches, "text", 3 << 20):
+            ids, ends = coder.encode(b.column("text").to_pylist())
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            texts = pa.array(coder.decode(ids, ends), pa.string())
+            yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(ids)), texts], ["doc_id", "ids", "text"])
+
+    thin = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return thin.mapInArrow(run, f"doc_id {thin.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
+
+
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids, text: from rows (doc_id, ids). Null ids give an empty text."""
 

@@ -27,7 +27,7 @@ def byte_vocabulary() -> packing.Vocabulary:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as ids and back: the ids, and length and hash of the text that they decode to."""
     model = vocabulary_file("piece_bpe_32k.model")
-    back = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    back = pieces.round_trip(table(spark, sf_dir, "documents"), model)
     return back.select("doc_id", F.size("ids").alias("n_ids"), "ids", F.length("text").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
