@@ -79,6 +79,8 @@ def test_sentencepiece_frames(spark):
     back = pieces.decode(pieces.encode(docs, model), model).collect()
     assert sorted((str(r.doc_id), r.text, len(r.ids)) for r in back) == [("1", "Hello  world", 3), ("1", "Hello  world", 3), ("2", "", 0), ("None", "</s> x", 4)]
     assert pieces.encode(docs.limit(0), model).count() == 0
+    assert sorted(map(str, pieces.round_trip(docs, model).collect())) == sorted(map(str, back))
+    assert pieces.round_trip(docs.limit(0), model).count() == 0
 
 
 def test_packing(spark):
