@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
@@ -155,6 +156,22 @@ def test_op10(spark, sf):
         assert r.verdict == fits[0][2] if fits else r.verdict in ("allow", "block")
 
 
+def test_op10_sql(spark, tmp_path):
+    """Reputation of many sites under addresses, ports, users and suffixes of two labels, against the SQL."""
+    rng = random.Random(3)
+    hosts = ["a.co.uk", "b.a.co.uk", "c.com", "x.c.com:80", "u@y.c.com", "1.2.3.4", "1.2.3.5:8080", "[::1]", "net", "org.", "", "d.org", "e.d.org"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'es', 'fr'])}/{rng.choice(['', '00'])}{i}{rng.choice(['', '/', '.html', '?q'])}" for i in range(300)] + [None, "x", "http://c.com/fr/7", "http://c.com/fr/7"]
+    labels = [(i, rng.choice([0, 1, 1, None]) if "c.com" in urls[i] else 0, rng.choice([0, 0, None])) for i in range(0, 300, 2)]
+    pq.write_table(pa.table({"page_id": range(len(urls)), "url": urls, "html": urls}), tmp_path / "pages.parquet")
+    pq.write_table(pa.table(dict(zip(("doc_id", "quality", "toxic"), map(list, zip(*labels))))), tmp_path / "labels.parquet")
+    db = duckdb.connect()
+    for name in ("pages", "labels"):
+        db.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    want = {r[0]: r[1:] for r in db.execute(f"select page_id, host, path, rule, verdict from ({queries.oracle_sql()['op10_url_filters']})").fetchall()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in run(spark, str(tmp_path), "op10_url_filters")}
+    assert got == want and {v for _, _, rule, v in got.values() if rule is None} == {"allow", "block"}
+
+
 def test_pipeline(spark, sf):
     rows = run(spark, sf, "pipeline")
     held = Counter()

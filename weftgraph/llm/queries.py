@@ -112,4 +112,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from weftgraph.llm import sql
 
-    return {"op3_chat_formatting": sql.OP3, "op6_exact_dedup": sql.OP6}
+    return {"op3_chat_formatting": sql.OP3, "op6_exact_dedup": sql.OP6, "op10_url_filters": sql.OP10}
