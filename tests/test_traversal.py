@@ -1,6 +1,11 @@
+import random
+from collections import defaultdict
+
+import numpy as np
 import pytest
 
 from tests.helpers import column, graph
+from weftgraph.operators import kernels
 from weftgraph.operators.centrality import betweenness
 from weftgraph.operators.traversal import bfs_levels, distances, path, shortest_paths
 
@@ -62,3 +67,47 @@ def test_weighted_and_normalized(spark):
     assert column(e, "eid", "betweenness") == pytest.approx([2 / 6, 3 / 6, 1 / 6, 3 / 6])
     v, e = betweenness(graph(spark, edges), vertices="id <> 2")
     assert column(v, "id", "betweenness") == pytest.approx([0, 1, 0])
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_betweenness_by_steps_equals_by_cost(monkeypatch, directed):
+    """Sums of batches of sources, loops and parallel edges included, against one source at a time with a heap."""
+    rng = random.Random(5)
+    for n, m, cells in ((1, 1, 10), (9, 14, 20), (30, 80, 100), (60, 150, 1 << 20)):
+        monkeypatch.setattr(kernels, "BATCH_CELLS", cells)
+        arcs = [(rng.randrange(n) * 5 - 7, rng.randrange(n) * 5 - 7, 3 * i) for i in range(m)]
+        if not directed:
+            arcs += [(b, a, e) for a, b, e in arcs]
+        by = defaultdict(list)
+        for a, b, e in arcs:
+            by[a].append((b, e, 1.0))
+        g = kernels.Compact(*(np.array(x) for x in zip(*arcs)))
+        v, e = kernels.dependencies_by_steps(g, np.arange(len(g.ids)))
+        vertices, edges = kernels.dependencies(by, g.ids.tolist())
+        assert v == pytest.approx([vertices.get(i, 0) for i in g.ids.tolist()])
+        assert e == pytest.approx([edges.get(i, 0) for i in g.eids.tolist()])
+
+
+def test_betweenness_without_edges(spark):
+    v, e = betweenness(graph(spark, [(1, 2)], n=3).remove_edges(spark.createDataFrame([(1,)], "eid long")))
+    assert column(v, "id", "betweenness") == [0, 0, 0] and e.count() == 0
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_levels_of_several_sources(spark, directed):
+    rng = random.Random(8)
+    edges = [(rng.randint(1, 40), rng.randint(1, 40)) for _ in range(50)] + [(i, i + 1) for i in range(41, 70)] + [(41, 41)]
+    out = defaultdict(set)
+    for a, b in edges:
+        out[a].add(b)
+        if not directed:
+            out[b].add(a)
+    want = set()
+    for s in (1, 7, 41, 70):
+        at, front, level = {s}, {s}, 0
+        while front:
+            want |= {(s, v, level) for v in front}
+            front, level = {b for a in front for b in out[a]} - at, level + 1
+            at |= front
+    sources = spark.createDataFrame([(1,), (7,), (41,), (70,), (7,)], "id long")
+    assert {tuple(r) for r in bfs_levels(graph(spark, edges, directed), sources).collect()} == want

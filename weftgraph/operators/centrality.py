@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,20 +51,45 @@ def betweenness(graph: PropertyGraph, cost: str | None = None, normalized: bool
 
 
 def _replicated(part: PropertyGraph, cost: str | None, begin: DataFrame) -> DataFrame:
-    weight = F.lit(1.0) if cost is None else F.col(cost).cast("double")
-    rows = part.arcs().select("src", "dst", "eid", weight.alias("c")).toPandas()  # at most LOCAL_EDGES edges
-    arcs: dict[int, list] = defaultdict(list)
-    for a, b, e, c in rows.itertuples(index=False):
-        arcs[a].append((b, e, c))
-    shared = part.vertices.sparkSession.sparkContext.broadcast(dict(arcs))
+    spark = part.vertices.sparkSession
+    weight = [] if cost is None else [F.col(cost).cast("double").alias("c")]
+    rows = part.arcs().select("src", "dst", "eid", *weight).toPandas()  # at most LOCAL_EDGES edges
+    shared = spark.sparkContext.broadcast({c: rows[c].to_numpy() for c in rows.columns})
+
+    def by_steps() -> Callable[[list[int]], Iterator[tuple]]:
+        g = kernels.Compact(*(shared.value[c] for c in ("src", "dst", "eid")))
+
+        def sums(sources: list[int]) -> Iterator[tuple]:
+            at = np.searchsorted(g.ids, sources)
+            known = (at < len(g.ids)) & (np.append(g.ids, -1)[at] == sources)  # others have no arcs
+            v, e = kernels.dependencies_by_steps(g, at[known])
+            yield from zip(["v"] * len(v), g.ids.tolist(), v.tolist())
+            yield from zip(["e"] * len(e), g.eids.tolist(), e.tolist())
+
+        return sums
+
+    def by_cost() -> Callable[[list[int]], Iterator[tuple]]:
+        arcs: dict[int, list] = defaultdict(list)
+        for a, b, e, c in zip(*(shared.value[c].tolist() for c in ("src", "dst", "eid", "c"))):
+            arcs[a].append((b, e, c))
+
+        def sums(sources: list[int]) -> Iterator[tuple]:
+            v, e = kernels.dependencies(arcs, sources)
+            yield from (("v", k, x) for k, x in v.items())
+            yield from (("e", k, x) for k, x in e.items())
+
+        return sums
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = None
         for b in batches:
-            v, e = kernels.dependencies(shared.value, b["id"].tolist())
-            yield pd.DataFrame([("v", k, x) for k, x in v.items()] + [("e", k, x) for k, x in e.items()], columns=["kind", "key", "part"])
+            sums = sums or (by_steps if cost is None else by_cost)()
+            found = pd.DataFrame(sums(b["id"].tolist()), columns=["kind", "key", "part"])
+            yield found[found["part"] != 0]
 
-    dealt = begin.repartition("id")
-    return dealt.mapInPandas(run, "kind string, key long, part double").groupBy("kind", "key").agg(F.sum("part").alias("part"))
+    # few bytes, much work: an explicit number of parts, or they would be joined to one
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return begin.repartition(parts, "id").mapInPandas(run, "kind string, key long, part double").groupBy("kind", "key").agg(F.sum("part").alias("part"))
 
 
 def _keyed(part: PropertyGraph, cost: str | None, begin: DataFrame) -> DataFrame:

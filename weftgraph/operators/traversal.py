@@ -12,19 +12,24 @@ from weftgraph.plans.durable import drop_durable, durable
 
 
 def bfs_levels(graph: PropertyGraph, sources: DataFrame, vertices: Predicate = None, edges: Predicate = None, max_level: int | None = None) -> DataFrame:
-    """source, id, level: number of edges from each source (rows ``id``) to what it reaches; direction counts."""
+    """source, id, level: number of edges from each source (rows ``id``) to what it reaches; direction counts.
+
+    Undirected, a step from a level ends in it, the one before or the next, so
+    that only two levels are compared with what a round finds.
+    """
     part = graph.subgraph(vertices, edges)
     arcs = durable(part.arcs().select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "arcs")
     front = durable(sources.select("id").distinct().join(part.vertices.select("id"), "id", "left_semi").select(F.col("id").alias("source"), "id", F.lit(0).alias("level")), "front")
-    seen, level = [front], 0
+    seen, near, level = [front], [front], 0
     while max_level is None or level < max_level:
         level += 1
-        known = reduce(DataFrame.unionByName, seen).select("source", "id")
+        known = reduce(DataFrame.unionByName, seen if part.directed else near).select("source", "id")
         step = front.join(arcs, front["id"] == arcs["a"]).select("source", F.col("b").alias("id")).distinct()
         front = durable(step.join(known, ["source", "id"], "left_anti").withColumn("level", F.lit(level)), "front")
         if front.isEmpty():
             break
         seen.append(front)
+        near = [near[-1], front]
         if len(seen) > 16:  # keep the plan short on deep graphs
             seen = [durable(reduce(DataFrame.unionByName, seen), "front")]  # the last front is still read
     return reduce(DataFrame.unionByName, seen)
