@@ -127,9 +127,9 @@ def oracle_sql() -> dict[str, str]:
         "cut_labels": rec(_NU, _cuts((2,), (6,), False), "side as (select bit_and(m) as m from cut where w = (select w from least))", "r(id) as (select 2::bigint union select case when s.src = r.id then s.dst else s.src end from r join na s on s.src = r.id or s.dst = r.id)") + "select nv.id, case when (side.m >> nv.id) & 1 = 1 then 1 when r.id is not null then 2 else 3 end as label from nv cross join side left join r on r.id = nv.id",
         "maxflow_multiple": with_(_ND, _cuts((0, 1), (11, 12), True)) + "select round(w, 6) as value from least",
         "mincut_value": with_(_NU, _cuts((0,), (), False)) + "select round(coalesce(min(w), 0), 6) as value from cut where m <> (1 << 25) - 1",
-        "conductance_flow": rec(_NU, _BOTH, _JACOBI) + "select round(sum(arc.weight * (1.0 - pot.v)), 2) as value from arc join pot on pot.id = arc.dst where arc.src = 0",
-        "conductance_potentials": rec(_NU, _BOTH, _JACOBI) + "select id, round(v, 5) as x from pot",
-        "conductance_edge_flow": rec(_NU, _BOTH, _JACOBI) + "select na.eid, round(na.weight * (a.v - b.v), 1) as flow from na join pot a on a.id = na.src join pot b on b.id = na.dst",
+        "conductance_flow": rec(_NU, _BOTH, _JACOBI) + "select round(sum(arc.weight * (1.0 - pot.v)), 6) as value from arc join pot on pot.id = arc.dst where arc.src = 0",
+        "conductance_potentials": rec(_NU, _BOTH, _JACOBI) + "select id, round(v, 9) as x from pot",
+        "conductance_edge_flow": rec(_NU, _BOTH, _JACOBI) + "select na.eid, round(na.weight * (a.v - b.v), 6) as flow from na join pot a on a.id = na.src join pot b on b.id = na.dst",
         "mesh_dual": with_(_MESH) + "select a.id as src, b.id as dst from cp a join cp b on a.point = b.point and a.id < b.id group by 1, 2 having count(*) = 2",
         "mesh_oriented": with_(_MESH) + f", s as (select id, list_sort(p) as p from cell), t as (select *, ((p[2] % {_SIDE} - p[1] % {_SIDE}) * (p[3] // {_SIDE} - p[1] // {_SIDE}) - (p[2] // {_SIDE} - p[1] // {_SIDE}) * (p[3] % {_SIDE} - p[1] % {_SIDE})) as v from s) select id, case when v > 0 then p[1] || ',' || p[2] || ',' || p[3] else p[1] || ',' || p[3] || ',' || p[2] end as points from t",
         "mesh_find_cells": with_(_MESH) + "select a.point as query, a.id as cell from cp a join cp b on a.id = b.id and b.point = a.point + 1",
@@ -137,6 +137,19 @@ def oracle_sql() -> dict[str, str]:
         "string_functions": "select cast(n_nationkey as bigint) as id, cast(len(string_split(n_name, ' ')) as int) as parts, array_to_string(list_filter(string_split(n_name, ' '), lambda x: trim(x) <> ''), '|') as words, cast(n_nationkey as int) as number from nation",
         "number_functions": "select l_orderkey, array_to_string(list_sort(list_distinct(list(l_suppkey))), ',') as suppliers, abs(avg(l_quantity) - max(l_quantity)) < 0.1 * greatest(1, abs(avg(l_quantity)), abs(max(l_quantity))) as alike from lineitem group by l_orderkey",
     }
+    out |= {
+        "add_vertices": with_(_ND) + "select id, region from nv union all select id + 100, null from nv",
+        "index_of": with_(_ND) + "select id * 2 as id, id * 2 in (select id from nv) as found from nv",
+        "sssp_to_target": rec(_ND, _ONE, _HOPS, "lim as (select coalesce(min(d), 1e300) as most from best where s = 0 and v = 6)") + "select nv.id, b.d as distance from nv left join (select v, d from best, lim where s = 0 and d <= most) b on b.v = nv.id",
+        "completion_labels": rec(_ND, _closure("na", "nv"), _SCC, "ce as (select distinct b.component as src, a.component as dst from na join scc a on a.id = na.src join scc b on b.id = na.dst where a.component <> b.component)", "lv(c, l) as (select distinct component, 1 from scc union select ce.dst, lv.l + 1 from lv join ce on ce.src = lv.c)") + "select scc.id, dense_rank() over (order by m.l, m.c) as label from scc join (select c, max(l) as l from lv group by c) m on m.c = scc.component",
+        "vtu_mesh_round_trip": with_(_MESH) + f"select row_number() over (order by id) as id, id as number, array_to_string(list_transform(p, lambda x: (x % {_SIDE}) || '/' || (x // {_SIDE})), ',') as corners from cell",
+        "numbers_round_trip": "select n_nationkey + 1 as line, case when n_nationkey <> 3 then cast(n_nationkey as bigint) * -1000003 end as value from nation",
+        "pattern_round_trip": "select cast(n_nationkey + 1 as bigint) as row, k as column, substr(lpad(cast(n_nationkey as varchar), 4, '.'), k, 1) as value from nation, (select unnest(range(1, 5)) as k)",
+        "line_blocks": "select block, lines, (select count(*) + count(distinct n_regionkey) from nation) as all_lines from (select cast(n_regionkey + 1 as bigint) as block, count(*) as lines from nation group by 1 union all select max(n_regionkey) + 2, 0 from nation)",
+        "value_functions": "select cast(c_custkey as bigint) as id, cast(c_custkey as bigint) * 10000000000 as large, cast(null as bigint) as no_number, cast(case when abs(c_acctbal - 5000) < 0.25 * greatest(1, abs(c_acctbal), 5000) then 0 when c_acctbal < 5000 then -1 else 1 end as int) as beside, cast(len(list_filter(range(1, 7), lambda i: substr(lpad(cast(c_custkey as varchar), 6, '0'), i, 1) = substr(lpad(cast(c_nationkey as varchar), 6, '0'), i, 1))) as int) as same_digits from customer",
+        "vector_functions": "select id, cast(b * f - c * e as double) as x, cast(c * d - a * f as double) as y, cast(a * e - b * d as double) as z, cast(a * d + b * e + c * f as double) as inner from (select cast(c_custkey as bigint) as id, c_custkey % 7 as a, c_custkey % 5 as b, c_custkey % 3 as c, c_custkey % 2 as d, c_custkey % 11 as e, c_custkey % 13 as f from customer)",
+        "masked_statistics": "select l_returnflag, round(avg(cast(l_quantity as double)) filter (l_partkey % 3 = 0), 6) as mean, round(var_pop(cast(l_quantity as double)) filter (l_partkey % 3 = 0), 6) as variance from lineitem group by l_returnflag",
+    }
     rounds = {"maxflow_rounds": "maxflow_value", "mincut_rounds": "mincut_value", "strong_components_rounds": "strong_components", "betweenness_rounds": "betweenness_edges", "conductance_rounds": "conductance_flow"}
     out |= {name: out[same] for name, same in rounds.items()}
     out["vtu_round_trip"] = with_(_ND) + "select row_number() over (order by na.eid) as eid, na.src + 1 as src, na.dst + 1 as dst, na.weight, na.src as place, cast(nv.region as bigint) as region from na join nv on nv.id = na.src"

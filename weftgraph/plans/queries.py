@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.functions.numeric import near, unique_sorted
-from weftgraph.functions.strings import split_all, split_nonempty, to_int
+from weftgraph.functions.numeric import compared, count_matches, cross, dot, mean_variance, near, unique_sorted
+from weftgraph.functions.strings import split_all, split_nonempty, to_int, to_long
 from weftgraph.operators import centrality, components, conductance, flow, traversal
 from weftgraph.operators.graph import PropertyGraph
 from weftgraph.operators.mesh import Mesh
@@ -74,6 +74,16 @@ def add_edges(spark, sf):
     return g.add_edges(more).duplicate_edges().select("a", "b", "n_edges")
 
 
+def add_vertices(spark, sf):
+    g = derived.nations(spark, sf, directed=True)
+    return g.add_vertices(g.vertices.select((F.col("id") + 100).alias("id"))).vertices.select("id", "region")
+
+
+def index_of(spark, sf):
+    g = derived.nations(spark, sf, directed=True)
+    return g.index_of(g.vertices.select((F.col("id") * 2).alias("id")))
+
+
 def duplicate_edges(spark, sf):
     line = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + SUPPLIER_BASE).alias("dst"), F.lit(0).cast("long").alias("eid"))
     return PropertyGraph.from_edges(line).duplicate_edges()
@@ -109,6 +119,11 @@ def sssp_distance(spark, sf):
     return traversal.distances(derived.nations(spark, sf, directed=True), "weight", 0)
 
 
+def sssp_to_target(spark, sf):
+    """Distances no longer than the one to nation 6."""
+    return traversal.distances(derived.nations(spark, sf, directed=True), "weight", 0, target=6)
+
+
 def sssp_path(spark, sf):
     g = derived.nations(spark, sf, directed=True)
     paths = traversal.shortest_paths(g, "weight", g.vertices.where("id = 0"))
@@ -139,6 +154,11 @@ def strong_components_users(spark, sf):
     return components.strongly_connected_components(derived.users(spark, sf))
 
 
+def completion_labels(spark, sf):
+    g = derived.nations(spark, sf, directed=True)
+    return components.completion_labels(g, components.strongly_connected_components(g))
+
+
 def topological_levels(spark, sf):
     return components.topological_levels(derived.conversation_turns(spark, sf))
 
@@ -220,6 +240,40 @@ def vtu_round_trip(spark, sf):
     return back.edges.join(ends, "src").select("eid", "src", "dst", "weight", "place", F.col("region").cast("long").alias("region"))
 
 
+def vtu_mesh_round_trip(spark, sf):
+    """The customers' mesh written to a file and read back."""
+    path = f"{shared_dir(spark)}/customers-{uuid.uuid4().hex}.vtu"
+    vtu.write_mesh(_mesh(spark, sf), path, [vtu.FieldSpec("height", ("y",), "Float64", "point"), vtu.FieldSpec("number", ("id",), "Int64", "cell")])
+    back = vtu.read_mesh(spark, path, [vtu.FieldSpec("height", ("height",), "Float64", "point"), vtu.FieldSpec("number", ("number",), "Int64", "cell")])
+    spots = back.points.select(F.col("id").alias("point"), F.concat_ws("/", F.col("x").cast("int"), F.col("height").cast("int")).alias("spot"))
+    corner = back.cells.select("id", "number", F.posexplode("point_ids").alias("k", "point")).join(spots, "point")
+    return corner.groupBy("id", "number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "spot"))), lambda c: c["spot"]), ",").alias("corners"))
+
+
+def _written(lines: DataFrame, order: list[str]) -> str:
+    """The path of one text file with the ``value`` of the lines in order."""
+    path = f"{shared_dir(lines.sparkSession)}/lines-{uuid.uuid4().hex}"
+    lines.repartition(1).sortWithinPartitions(*order).select("value").write.text(path)
+    return path
+
+
+def numbers_round_trip(spark, sf):
+    lines = table(spark, sf, "nation").select("n_nationkey", F.concat(F.lit(" "), F.when(F.col("n_nationkey") == 3, "three").otherwise((F.col("n_nationkey") * -1000003).cast("string"))).alias("value"))
+    return text.read_numbers(spark, _written(lines, ["n_nationkey"])).select(F.col("line").cast("long").alias("line"), "value")
+
+
+def pattern_round_trip(spark, sf):
+    lines = table(spark, sf, "nation").select("n_nationkey", F.lpad(F.col("n_nationkey").cast("string"), 4, ".").alias("value"))
+    return text.read_pattern(spark, _written(lines, ["n_nationkey"])).select(F.col("row").cast("long").alias("row"), F.col("column").cast("long").alias("column"), "value")
+
+
+def line_blocks(spark, sf):
+    """Nations of each region, a blank line after every region."""
+    regions = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_append(F.collect_list("n_name"), F.lit("")).alias("names"))
+    path = _written(regions.select("n_regionkey", F.posexplode("names").alias("k", "value")), ["n_regionkey", "k"])
+    return text.count_lines_block(spark, path).withColumn("all_lines", F.lit(text.count_lines(spark, path)).cast("long"))
+
+
 def text_round_trip(spark, sf):
     """Names of nations written a line each and read back."""
     path = f"{shared_dir(spark)}/names-{uuid.uuid4().hex}"
@@ -230,23 +284,23 @@ def text_round_trip(spark, sf):
 def _network(spark: SparkSession, sf: str, strategy: str = "auto") -> conductance.Conductance:
     g = derived.nations(spark, sf, directed=False)
     g = PropertyGraph(g.vertices.withColumn("bc", F.when(F.col("id") == 0, 2).when(F.col("id") == 24, 1).otherwise(0)), g.edges)
-    return conductance.conductance(g, "weight", "bc", 0.0, 1.0, strategy=strategy)
+    return conductance.conductance(g, "weight", "bc", 0.0, 1.0, rtol_l2=1e-13, rtol_linf=1e-13, strategy=strategy)
 
 
 def conductance_flow(spark, sf):
-    return spark.createDataFrame([(round(_network(spark, sf).flow, 2),)], "value double")
+    return spark.createDataFrame([(round(_network(spark, sf).flow, 6),)], "value double")
 
 
 def conductance_rounds(spark, sf):
-    return spark.createDataFrame([(round(_network(spark, sf, "bsp").flow, 2),)], "value double")
+    return spark.createDataFrame([(round(_network(spark, sf, "bsp").flow, 6),)], "value double")
 
 
 def conductance_potentials(spark, sf):
-    return _network(spark, sf).potentials.select("id", F.round("x", 5).alias("x"))
+    return _network(spark, sf).potentials.select("id", F.round("x", 9).alias("x"))
 
 
 def conductance_edge_flow(spark, sf):
-    return _network(spark, sf).flows.select("eid", F.round("flow", 1).alias("flow"))
+    return _network(spark, sf).flows.select("eid", F.round("flow", 6).alias("flow"))
 
 
 def _mesh(spark: SparkSession, sf: str) -> Mesh:
@@ -289,6 +343,30 @@ def number_functions(spark, sf):
     return per.select("l_orderkey", F.array_join(unique_sorted("s"), ",").alias("suppliers"), near(F.col("a"), F.col("b"), 0.1).alias("alike"))
 
 
+def value_functions(spark, sf):
+    digits = lambda c: F.split(F.lpad(F.col(c).cast("string"), 6, "0"), "")
+    customer, balance = table(spark, sf, "customer"), F.col("c_acctbal").cast("double")
+    return customer.select(
+        F.col("c_custkey").cast("long").alias("id"),
+        to_long(F.concat(F.col("c_custkey").cast("string"), F.lit("0000000000"))).alias("large"),
+        to_long(F.concat(F.col("c_custkey").cast("string"), F.lit("x"))).alias("no_number"),
+        compared(balance, F.lit(5000.0), 0.25).alias("beside"),
+        count_matches(digits("c_custkey"), digits("c_nationkey")).alias("same_digits"),
+    )
+
+
+def vector_functions(spark, sf):
+    rest = lambda *by: F.struct(*((F.col("c_custkey") % m).cast("double").alias(n) for m, n in zip(by, "xyz")))
+    a, b = rest(7, 5, 3), rest(2, 11, 13)
+    both = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("id"), cross(a, b).alias("c"), dot(a, b).alias("inner"))
+    return both.select("id", "c.x", "c.y", "c.z", "inner")
+
+
+def masked_statistics(spark, sf):
+    mean, variance = mean_variance(F.col("l_quantity").cast("double"), F.col("l_partkey") % 3 == 0)
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(mean, 6).alias("mean"), F.round(variance, 6).alias("variance"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_")}
     return {k: f for k, f in own.items() if k != "queries"}
