@@ -124,3 +124,23 @@ def test_graph_changes(spark):
     with pytest.raises(ValueError):
         graph(spark, [(1, 2), (2, 1)]).validate()
     assert {(r.a, r.b): r.eid for r in g.find_edges(spark.createDataFrame([(1, 2), (2, 1)], "a long, b long")).collect()} == {(1, 2): 1, (2, 1): None}
+
+
+def test_lines_over_blocks(spark, tmp_path):
+    """Numbers of lines hold over the blocks that tasks read, and over files in order of their paths."""
+    lines = [f"{i} " + "é" * (i % 7) if i % 11 else "" for i in range(500)]
+    (tmp_path / "one.txt").write_bytes("\r\n".join(lines).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = {r.line: r.value for r in text.read_strings(spark, str(tmp_path / "one.txt")).collect()}
+        blocks = {r.block: r.lines for r in text.count_lines_block(spark, str(tmp_path / "one.txt")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == dict(enumerate(lines, 1)) and text.count_lines(spark, str(tmp_path / "one.txt")) == 500
+    ends = [i for i, x in enumerate(lines) if not x]
+    assert blocks == {k: b - a - 1 for k, (a, b) in enumerate(zip([-1, *ends], [*ends, 500]), 1)}
+    (tmp_path / "two.txt").write_text("x\n\n")
+    assert [r.value for r in text.read_strings(spark, str(tmp_path / "*.txt")).orderBy("line").collect()] == [*lines, "x", ""]
+    (tmp_path / "empty").write_text("")
+    assert text.read_strings(spark, str(tmp_path / "empty")).isEmpty() and [tuple(r) for r in text.count_lines_block(spark, str(tmp_path / "empty")).collect()] == [(1, 0)]

@@ -3,35 +3,45 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.strings import to_long
 from weftgraph.operators.graph import PropertyGraph
+from weftgraph.plans.durable import durable
+from weftgraph.plans.ranking import numbered
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (from 1), value, in the order of one file."""
-    whole = spark.read.text(path, wholetext=True)
-    body = F.regexp_replace("value", r"\r?\n\z", "")
-    return whole.select(F.posexplode(F.split(body, r"\r?\n")).alias("line", "value")).withColumn("line", F.col("line") + 1)
+    """line (from 1), value, in the order of the file; several files follow each other in order of their paths.
+
+    Tasks read blocks of a file; a line's number comes from its place within its
+    block and a prefix sum over the blocks, of which only counts reach the driver.
+    """
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    read = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", r"\r\z", "").alias("value"), *block)
+    placed = durable(read.withColumn("at", F.monotonically_increasing_id()), "lines")
+    sizes = sorted(placed.groupBy("file", "start").agg(F.count("*"), F.min("at")).collect())
+    before = accumulate((n for _, _, n, _ in sizes), initial=1)
+    bases = spark.createDataFrame([(file, start, base - first) for (file, start, _, first), base in zip(sizes, before)], "file string, start long, base long")
+    return placed.join(bases, ["file", "start"]).select((F.col("base") + F.col("at")).alias("line"), "value")
 
 
 def count_lines(spark: SparkSession, path: str) -> int:
     """Lines of a file, empty ones too."""
-    return spark.read.text(path).count()
+    return spark.read.option("lineSep", "\n").text(path).count()
 
 
 def count_lines_block(spark: SparkSession, path: str) -> DataFrame:
     """block (from 1), lines: how many lines each block has; every blank line ends a block, so blocks can be empty."""
     rows = _lines(spark, path)
-    blank = F.trim("value") == ""
-    # one file's lines, which one task reads anyway
-    placed = rows.select(blank.alias("blank"), F.sum(blank.cast("long")).over(Window.orderBy("line")).alias("before"))
-    found = placed.groupBy((F.col("before") + 1).alias("block")).agg(F.sum((~F.col("blank")).cast("long")).alias("lines"))
-    first = rows.sparkSession.createDataFrame([(1, 0)], "block long, lines long")
-    return found.unionByName(first).groupBy("block").agg(F.sum("lines").alias("lines"))
+    ends = numbered(rows.where(F.trim("value") == "").select("line"), ["line"], "block")
+    last = spark.createDataFrame([((rows.agg(F.max("line")).first()[0] or 0) + 1, ends.count() + 1)], "line long, block long")
+    bounds = durable(ends.unionByName(last), "ends")
+    begun = bounds.select((F.col("block") + 1).alias("block"), F.col("line").alias("begin"))
+    return bounds.join(begun, "block", "left").select("block", (F.col("line") - F.coalesce("begin", F.lit(0)) - 1).alias("lines"))
 
 
 def read_strings(spark: SparkSession, path: str) -> DataFrame:
