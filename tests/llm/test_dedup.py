@@ -119,6 +119,54 @@ def test_crowded_fingerprints_in_parts(spark):
         assert [got[i] for i in range(40)] == want.tolist()
 
 
+def test_near_stage_meets_at_anchors_of_fingerprints(spark):
+    rng = np.random.default_rng(7)
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64)
+    for n in (1, 4, 255, 300):
+        cast, got = near_dedup.votes(hashes := draw(n)), near_dedup.majority(hashes)
+        ones = np.unpackbits(cast.view(np.uint8).reshape(n, -1, 8), axis=2, bitorder="little").sum(0, dtype=np.int64).reshape(-1, 64)
+        assert [[int(x) >> b & 1 for b in range(64)] for x in got] == (ones * 2 > n).astype(int).tolist()
+    # pairs of 40 hashes each, 36 in common: Jaccard similarity 0.82; each pair apart from all others
+    marks, node = [], 0
+    for _ in range(200):
+        hashes = draw(44)
+        for part in (hashes[:40], hashes[4:]):
+            marks.append((node, near_dedup.majority(part).view(np.int64).tolist()))
+            node += 1
+    marks = spark.createDataFrame(marks, "name long, fps array<long>")
+    links = {(min(r.a, r.b), max(r.a, r.b)) for r in near_dedup.meetings(marks, 0, near_dedup.FINGERPRINTS).collect()}
+    pairs = {(i, i + 1) for i in range(0, 400, 2)}
+    assert links <= pairs and len(links) >= 198
+    # one fingerprint at its anchors meets some of them only, and only by that fingerprint's anchors
+    one = near_dedup.meetings(marks, 0, 1).distinct().count()
+    assert 0 < one < 120
+    # rows that are one by name already give no links; keys go on over batches
+    named = marks.withColumn("name", F.expr("if(name < 200, -1, name)"))
+    assert {tuple(sorted((r.a, r.b))) for r in near_dedup.meetings(named, 0, 8).collect()} <= {p for p in pairs if p[0] >= 200}
+    alike = spark.createDataFrame([(i, near_dedup.majority(hashes).view(np.int64).tolist()) for i in range(90)], "name long, fps array<long>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        reach = near_dedup.min_reachable(near_dedup.meetings(alike, 0, 1, 0), "a", "b").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.id, r.component) for r in reach} == {(i, 0) for i in range(90)}
+
+
+def test_what_meets_in_one_anchor():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 40, 64, 65, 300):
+        keys = np.sort(rng.integers(0, 3, n))
+        centres = rng.integers(0, 1 << 63, (4, 2), dtype=np.uint64)
+        checks = centres[rng.integers(0, 4, n)]
+        for _ in range(22):
+            checks[np.arange(n), rng.integers(0, 2, n)] ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+        near = (np.bitwise_count(checks[:, None] ^ checks[None, :]).sum(-1, dtype=np.int64) <= near_dedup.MOST_BITS) & (keys[:, None] == keys[None, :])
+        mine = np.eye(n, dtype=bool)
+        for i, j in zip(*near_dedup.met(keys, np.arange(n), checks)):
+            mine[i, j] = mine[j, i] = True
+        assert (components(mine) == components(near)).all()
+
+
 def test_near_stage_of_the_pipeline(spark):
     import corpus_pipeline
 
