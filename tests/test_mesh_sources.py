@@ -31,6 +31,14 @@ def test_flat_mesh(spark):
     assert column(m.neighbours(), "id", "neighbours")[0] == [4, 5]
 
 
+def test_cells_are_found_without_a_count_over_what_met(spark):
+    m = mesh(spark, FLAT, [(1, 2, 5), (1, 4, 5), (2, 3, 5)])
+    asked = spark.createDataFrame([(1, [5, 1]), (2, [2]), (2, [2]), (3, []), (4, [1, None]), (5, [None, 1]), (6, [1, 3]), (7, [5, 5, 2]), (8, [99])], "query int, point_ids array<long>")
+    found = m.find_cells(asked)
+    assert sorted(set(map(tuple, found.collect()))) == [(1, 1), (1, 2), (2, 1), (2, 3), (7, 1), (7, 3)]  # a query asked twice is answered too
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_solid_mesh(spark):
     m = mesh(spark, SOLID, [(1, 2, 3, 4), (1, 2, 3, 5), (1, 2, 4, 5)], True)
     m.validate()

@@ -64,10 +64,14 @@ class Mesh:
         return self.cells.join(self.neighbours(), "id", "left").orderBy("id")
 
     def find_cells(self, queries: DataFrame) -> DataFrame:
-        """query, cell: cells that have all points of a query, from rows (query, point_ids); none for no points."""
-        owned = self.cells.select(F.explode(F.array_distinct("point_ids")).alias("point"), F.col("id").alias("cell"))
-        asked = queries.select("query", F.explode(F.array_distinct("point_ids")).alias("point"), F.size(F.array_distinct("point_ids")).alias("n"))
-        return asked.join(owned, "point").groupBy("query", "cell", "n").agg(F.count("*").alias("hits")).where("hits = n").select("query", "cell")
+        """query, cell: cells that have all points of a query, from rows (query, point_ids); none for no points.
+
+        Cells meet a query at its first point and are compared there, so that nothing is counted over what met.
+        """
+        owned = self.cells.select(F.explode(F.array_distinct("point_ids")).alias("point"), F.col("id").alias("cell"), F.col("point_ids").alias("corners"))
+        asked = queries.select("query", "point_ids", F.get("point_ids", F.lit(0)).alias("point"))
+        has_all = F.forall("point_ids", lambda p: F.array_contains("corners", p))
+        return asked.join(owned, "point").where(has_all).select("query", "cell")
 
     def oriented(self) -> DataFrame:
         """``cells`` with point_ids in order: the two smallest ids first, then turned for a positive volume.
