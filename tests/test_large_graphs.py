@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from tests.helpers import graph
 from tests.test_flow import FLOWS, checked
 from weftgraph import PropertyGraph
+from weftgraph.operators import traversal
 from weftgraph.operators.components import completion_labels, strongly_connected_components
 from weftgraph.operators.conductance import conductance
 from weftgraph.operators.flow import cut_edges, max_flow
 from weftgraph.operators.mesh import Mesh
 from weftgraph.operators.traversal import distances, shortest_paths
-from weftgraph.plans import local
+from weftgraph.plans import derived, durable, local, queries
 from weftgraph.sources import text, vtu
 
 
@@ -113,3 +114,27 @@ def test_one_file_at_a_time(spark, tmp_path):
         vtu.read_graph(spark, str(tmp_path))
     mesh = Mesh(spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 1.0, 0.0, 0.0), (3, 0.0, 1.0, 0.0)], "id long, x double, y double, z double"), spark.createDataFrame([(1, [1, 2, 3])], "id long, point_ids array<long>"))
     assert mesh.describe().count() == 1
+
+
+def watch(monkeypatch, *modules):
+    """What the modules write from now on: (label, optimized plan)."""
+    seen, write = [], durable.durable
+
+    def noted(df, label="step"):
+        seen.append((label, df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df, label)
+
+    for m in modules:
+        monkeypatch.setattr(m, "durable", noted)
+    return seen
+
+
+def test_levels_make_the_edges_distinct_once(spark, monkeypatch):
+    seen = watch(monkeypatch, derived, traversal)
+    g = graph(spark, [(1, 2), (1, 2), (2, 1), (2, 3), (3, 4), (5, 6)])
+    found = traversal.bfs_levels(g, spark.createDataFrame([(1,), (1,), (5,), (99,)], "id long"))
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (1, 4, 3), (5, 5, 0), (5, 6, 1)]
+    assert [plan for label, plan in seen if label == "arcs" and "Aggregate" in plan] == []
+    del seen[:]
+    queries.bfs_levels_bipartite(spark, "/root/testdata/sf0.001")
+    assert [label for label, plan in seen if "l_partkey" in plan] == ["pairs"]

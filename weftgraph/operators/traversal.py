@@ -15,11 +15,15 @@ def bfs_levels(graph: PropertyGraph, sources: DataFrame, vertices: Predicate = N
     """source, id, level: number of edges from each source (rows ``id``) to what it reaches; direction counts.
 
     Undirected, a step from a level ends in it, the one before or the next, so
-    that only two levels are compared with what a round finds.
+    that only two levels are compared with what a round finds. Parallel arcs
+    are merged by the steps over them. The sources are written first: few of
+    them are then looked for among the vertices before those are made distinct.
     """
     part = graph.subgraph(vertices, edges)
-    arcs = durable(part.arcs().select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "arcs")
-    front = durable(sources.select("id").distinct().join(part.vertices.select("id"), "id", "left_semi").select(F.col("id").alias("source"), "id", F.lit(0).alias("level")), "front")
+    arcs = durable(part.arcs().select(F.col("src").alias("a"), F.col("dst").alias("b")), "arcs")
+    wanted = durable(sources.select("id").distinct(), "sources")
+    front = durable(part.vertices.select("id").join(wanted, "id", "left_semi").distinct().select(F.col("id").alias("source"), "id", F.lit(0).alias("level")), "front")
+    drop_durable(wanted)
     seen, near, level = [front], [front], 0
     while max_level is None or level < max_level:
         level += 1

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.graph import PropertyGraph
+from weftgraph.plans.durable import durable
 
 #: Suppliers follow parts in one id range.
 SUPPLIER_BASE = 1_000_000_000
@@ -15,10 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def part_supplier(spark: SparkSession, sf_dir: str, where: str = "true") -> PropertyGraph:
-    """Parts and suppliers joined by a line item; the edge id is a function of its ends."""
+def part_supplier(spark: SparkSession, sf_dir: str, where: str = "true", held: bool = False) -> PropertyGraph:
+    """Parts and suppliers joined by a line item; the edge id is a function of its ends.
+
+    With ``held`` the edges are written once, for operators that read the graph in several jobs.
+    """
     pairs = table(spark, sf_dir, "lineitem").where(where).select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + SUPPLIER_BASE).alias("dst")).distinct()
-    return PropertyGraph.from_edges(pairs.withColumn("eid", F.col("src") * SUPPLIER_BASE + F.col("dst")), directed=False)
+    return PropertyGraph.from_edges((durable(pairs, "pairs") if held else pairs).withColumn("eid", F.col("src") * SUPPLIER_BASE + F.col("dst")), directed=False)
 
 
 def nations(spark: SparkSession, sf_dir: str, directed: bool, top: int = 3) -> PropertyGraph:

@@ -111,7 +111,7 @@ def bfs_levels(spark, sf):
 
 
 def bfs_levels_bipartite(spark, sf):
-    g = derived.part_supplier(spark, sf)
+    g = derived.part_supplier(spark, sf, held=True)
     return traversal.bfs_levels(g, spark.createDataFrame([(1,)], "id long")).select("id", "level")
 
 
