@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.helpers import graph
 from tests.test_flow import FLOWS, checked
 from weftgraph import PropertyGraph
-from weftgraph.operators import traversal
+from weftgraph.operators import components, traversal
 from weftgraph.operators.components import completion_labels, strongly_connected_components
 from weftgraph.operators.conductance import conductance
 from weftgraph.operators.flow import cut_edges, max_flow
@@ -138,3 +138,10 @@ def test_levels_make_the_edges_distinct_once(spark, monkeypatch):
     del seen[:]
     queries.bfs_levels_bipartite(spark, "/root/testdata/sf0.001")
     assert [label for label, plan in seen if "l_partkey" in plan] == ["pairs"]
+
+
+def test_completion_labels_join_the_line_items_once(spark, monkeypatch):
+    seen = watch(monkeypatch, derived, components)
+    found = queries.completion_labels(spark, "/root/testdata/sf0.001")
+    assert [label for label, plan in seen if "l_quantity" in plan] == ["nations"]
+    assert "l_quantity" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 25

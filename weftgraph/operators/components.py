@@ -97,8 +97,9 @@ def completion_labels(graph: PropertyGraph, components: DataFrame, vertices: Pre
     """id, label of every vertex: strong components (rows id, component) numbered from 1 so that an edge between
     two of them leads from the higher label to the lower; 0 outside the selection."""
     part = graph.subgraph(vertices, edges)
+    components = durable(components.select("id", "component"), "components")
     turned = part.edges.select("eid", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    depth = topological_levels(PropertyGraph(part.vertices, turned, True, True), components).join(components.select("id", "component"), "id")
+    depth = topological_levels(PropertyGraph(part.vertices, turned, True, True), components).join(components, "id")
     placed = durable(depth.select("id", "level", "component"), "depth")
     labels = dense_index(placed, ["level", "component"], "label")
     found = placed.join(labels, ["level", "component"]).select("id", "label")
