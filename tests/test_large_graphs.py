@@ -145,3 +145,25 @@ def test_completion_labels_join_the_line_items_once(spark, monkeypatch):
     found = queries.completion_labels(spark, "/root/testdata/sf0.001")
     assert [label for label, plan in seen if "l_quantity" in plan] == ["nations"]
     assert "l_quantity" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 25
+
+
+def test_masked_components_read_the_edges_once_and_join_no_vertices(spark, monkeypatch):
+    seen = watch(monkeypatch, derived, components)
+    queries.connected_components_masked(spark, "/root/testdata/sf0.001")
+    assert [label for label, plan in seen if "l_partkey" in plan] == ["pairs"]
+    assert [plan for label, plan in seen if label == "links" and "LeftSemi" in plan] == []
+    rng = random.Random(5)
+    pairs = [(rng.randint(1, 60), rng.randint(1, 60)) for _ in range(55)]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate([*pairs, *pairs[:9]])], "eid long, src long, dst long")
+    g = PropertyGraph.from_edges(rows)
+    for masked in ("id % 4 <> 0", "id % 4 <> 0 and p <> 3", F.col("id") % 4 != 0, None):
+        shown = PropertyGraph(g.vertices.withColumn("p", F.col("id") % 7), g.edges, False, True)
+        kept = {r.id for r in (shown.vertices if masked is None else shown.vertices.where(masked)).collect()}
+        least = {v: v for v in kept}
+        for _ in kept:
+            for a, b in pairs:
+                if a in kept and b in kept:
+                    least[a] = least[b] = min(least[a], least[b])
+        order = {c: k for k, c in enumerate(sorted(set(least.values())), 1)}
+        found = components.connected_components(shown, vertices=masked).collect()
+        assert sorted(map(tuple, found)) == sorted((v, order[least[v]] if v in kept else 0) for v in {e for p in pairs for e in p})

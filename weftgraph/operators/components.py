@@ -34,14 +34,20 @@ def _star(links: DataFrame, large: bool, hold: Scratch) -> DataFrame:
     return joined.where("a > b").distinct()
 
 
-def min_reachable(links: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def min_reachable(links: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, dense: bool = False) -> DataFrame:
     """(id, component) for every id on a link: the smallest id it reaches, direction ignored.
 
     Null ends and self links carry nothing; ids on no link are not returned.
+    With ``dense``, for links that are many more than their ends, a small star
+    comes first: it leaves few links for the rounds, and merges repeated ones.
     """
     ends = links.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).where(F.col(src).isNotNull() & F.col(dst).isNotNull())
     alone = ends.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component"))
-    now = durable(ends.where("a > b").distinct(), "links")
+    if dense:
+        with Scratch() as hold:
+            now = durable(_star(hold(ends.where("a > b"), "links"), False, hold), "links")
+    else:
+        now = durable(ends.where("a > b").distinct(), "links")
     mark = None
     for _ in range(max_rounds):
         with Scratch() as hold:
@@ -63,19 +69,18 @@ def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.shiftright(h, 20)), F.bit_xor(h)).first())
 
 
-def _labelled(graph: PropertyGraph, roots: DataFrame) -> DataFrame:
-    """Labels 1, 2, ... in order of the smallest member, 0 outside, from (id, component) of selected vertices."""
-    labels = dense_index(roots.select("component"), ["component"], "label")
-    found = roots.join(labels, "component").select("id", "label")
-    return graph.vertices.select("id").join(found, "id", "left").select("id", F.coalesce("label", F.lit(0)).cast("long").alias("label"))
-
-
 def connected_components(graph: PropertyGraph, vertices: Predicate = None, edges: Predicate = None) -> DataFrame:
-    """id, label of every vertex: components of the selection, direction ignored; 0 for vertices outside it."""
-    part = graph.subgraph(vertices, edges)
-    reach = min_reachable(part.edges)
-    roots = part.vertices.select("id").join(reach, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    return _labelled(graph, durable(roots, "components"))
+    """id, label of every vertex: components of the selection, direction ignored; 0 for vertices outside it.
+
+    Labels are 1, 2, ... in order of the smallest member.
+    """
+    inside = F.lit(True) if vertices is None else F.expr(vertices) if isinstance(vertices, str) else vertices
+    known = durable(graph.vertices.select("id", F.coalesce(inside, F.lit(False)).alias("inside")), "vertices")
+    reach = min_reachable(graph.subgraph(vertices, edges).edges, dense=True)
+    roots = durable(known.where("inside").join(reach, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "components")
+    labels = dense_index(roots.select("component"), ["component"], "label")
+    outside = known.where("not inside").select("id", F.lit(0).cast("long").alias("label"))
+    return roots.join(labels, "component").select("id", "label").unionByName(outside)
 
 
 def strongly_connected_components(graph: PropertyGraph, vertices: Predicate = None, edges: Predicate = None, strategy: str = "auto") -> DataFrame:

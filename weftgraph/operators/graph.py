@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,22 @@ def _chosen(df: DataFrame, predicate: Predicate) -> DataFrame:
     return df if predicate is None else df.where(predicate)
 
 
+def _by_ends(edges: DataFrame, predicate: Predicate) -> DataFrame | None:
+    """The ``edges`` both of whose ends satisfy a predicate on vertices, without a join: for one in SQL on the id
+    alone, where every edge ends at vertices. None for other predicates."""
+    if not isinstance(predicate, str) or "id" in map(str.lower, edges.columns):
+        return None
+    try:
+        tried = edges.sparkSession.range(0).where(predicate)._jdf.queryExecution().analyzed()
+        if not tried.condition().deterministic() or not tried.subqueries().isEmpty():
+            return None
+        for end in ("src", "dst"):
+            edges = edges.withColumn("id", F.col(end)).where(predicate).drop("id")
+    except AnalysisException:  # it is on properties
+        return None
+    return edges
+
+
 @dataclass(frozen=True)
 class PropertyGraph:
     vertices: DataFrame
@@ -105,6 +122,8 @@ class PropertyGraph:
         keep, kept = _chosen(self.vertices, vertices), _chosen(self.edges, edges)
         if self.whole and vertices is None:
             return PropertyGraph(keep, kept, self.directed, True)
+        if self.whole and (inner := _by_ends(kept, vertices)) is not None:
+            return PropertyGraph(keep, inner, self.directed, True)
         ids = keep.select("id")
         for end in ("src", "dst"):
             kept = kept.join(ids.withColumnRenamed("id", "__end"), kept[end] == F.col("__end"), "left_semi")

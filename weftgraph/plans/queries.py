@@ -131,15 +131,15 @@ def sssp_path(spark, sf):
 
 
 def connected_components(spark, sf):
-    return components.connected_components(derived.part_supplier(spark, sf))
+    return components.connected_components(derived.part_supplier(spark, sf, held=True))
 
 
 def connected_components_masked(spark, sf):
-    return components.connected_components(derived.part_supplier(spark, sf), vertices="id % 5 <> 0")
+    return components.connected_components(derived.part_supplier(spark, sf, held=True), vertices="id % 5 <> 0")
 
 
 def component_sizes(spark, sf):
-    return components.connected_components(derived.part_supplier(spark, sf)).groupBy("label").agg(F.count("*").alias("n"))
+    return components.connected_components(derived.part_supplier(spark, sf, held=True)).groupBy("label").agg(F.count("*").alias("n"))
 
 
 def weak_components_directed(spark, sf):
